@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from . import (
     cleaning,
+    features,
+    quality,
 )
 from .registry import oracles, queries
 
