@@ -2,7 +2,8 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer.  Here a mergeable
 sketch brackets each order statistic, one aggregation counts what lies below each bracket exactly and
-keeps only the distinct values inside it, and the rank is resolved among those few values.
+keeps only the distinct values inside it (and the nearest value on either side), and the rank is
+resolved among those few values. A rank that falls outside its bracket is an error, never a guess.
 """
 
 from __future__ import annotations
@@ -58,42 +59,61 @@ def quantiles(
         .agg(
             F.count(F.lit(1)).alias("_c"),
             *[F.count_if(F.col("_x") < F.col("_b")[i]["lo"]).alias(f"_u{i}") for i in range(k)],
+            *[
+                F.max(F.when(F.col("_x") < F.col("_b")[i]["lo"], F.col("_x"))).alias(f"_before{i}")
+                for i in range(k)
+            ],
+            *[
+                F.min(F.when(F.col("_x") > F.col("_b")[i]["hi"], F.col("_x"))).alias(f"_after{i}")
+                for i in range(k)
+            ],
         )
     )
     # Below-bracket counts arrive spread over the counted rows: fold them per group, then keep one
     # row per (group, probability, candidate value).
-    below = counted.groupBy(*keys).agg(
-        F.array(*[F.sum(f"_u{i}") for i in range(k)]).alias("_below"), F.sum("_c").alias("_n")
-    )
-    ranks = F.array(*[F.lit(float(p)) for p in probs.values()])
-    wanted = below.select(
-        *keys, "_n", "_below", F.posexplode(ranks).alias("_i", "_p")
-    ).select(
+    per_prob = [
+        F.struct(
+            F.sum(f"_u{i}").alias("under"),
+            F.max(f"_before{i}").alias("before"),
+            F.min(f"_after{i}").alias("after"),
+            F.lit(float(p)).alias("p"),
+        )
+        for i, p in enumerate(probs.values())
+    ]
+    folded = counted.groupBy(*keys).agg(F.array(*per_prob).alias("_w"), F.sum("_c").alias("_n"))
+    spread = folded.select(*keys, "_n", F.posexplode("_w").alias("_i", "_w"))
+    # The value just below the bracket holds the rank before it, so it joins the candidates.
+    wanted = spread.select(
         *keys,
         "_i",
         "_n",
-        F.element_at("_below", F.col("_i") + 1).alias("_under"),
-        (F.col("_p") * (F.col("_n") - 1)).alias("_r"),
+        (F.col("_w.under") - F.col("_w.before").isNotNull().cast("bigint")).alias("_under"),
+        (F.col("_w.p") * (F.col("_n") - 1)).alias("_r"),
     )
+    neighbours = F.array_compact(
+        F.array(
+            F.when(
+                F.col("_w.before").isNotNull(),
+                F.struct(F.col("_w.before").alias("v"), F.lit(-1).cast("bigint").alias("bin")),
+            ),
+            F.when(
+                F.col("_w.after").isNotNull(),
+                F.struct(F.col("_w.after").alias("v"), F.lit(BINS).cast("bigint").alias("bin")),
+            ),
+        )
+    )
+    outer = spread.select(*keys, "_i", F.explode(neighbours).alias("_e")).select(
+        *keys, F.col("_e.v").alias("_v"), F.lit(1).cast("bigint").alias("_c"), "_i", F.col("_e.bin").alias("_bin")
+    )
+    lo, hi = F.col("_r")["lo"], F.col("_r")["hi"]
+    fraction = F.when(hi > lo, (F.col("_v") - lo) / (hi - lo)).otherwise(F.lit(0.0))
     candidates = (
         _attach(counted.where(F.col("_v").isNotNull()).select(*keys, "_v", "_c"), sketch, keys)
         .select(*keys, "_v", "_c", F.posexplode("_b").alias("_i", "_r"))
-        .where(F.col("_v").between(F.col("_r")["lo"], F.col("_r")["hi"]))
-        .withColumn(
-            "_bin",
-            F.when(
-                F.col("_r")["hi"] > F.col("_r")["lo"],
-                F.least(
-                    F.lit(BINS - 1),
-                    F.floor(
-                        (F.col("_v") - F.col("_r")["lo"])
-                        / (F.col("_r")["hi"] - F.col("_r")["lo"])
-                        * BINS
-                    ),
-                ),
-            ).otherwise(F.lit(0)),
-        )
+        .where(F.col("_v").between(lo, hi))
+        .withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(fraction * BINS)).cast("bigint"))
         .drop("_r")
+        .unionByName(outer)
     )
     group = [*keys, "_i"]
     w_bins = Window.partitionBy(*group).orderBy("_bin")

@@ -122,7 +122,9 @@ def feature_names(columns: Sequence[str]) -> list[str]:
 
 def inventory(df: DataFrame) -> DataFrame:
     """Family and number of known values of every feature column."""
-    names = feature_names(df.columns)
-    known = df.agg(*[F.count(c).alias(c) for c in names]).unpivot([], names, "feature", "known")
-    families = df.sparkSession.createDataFrame([(c, family(c)) for c in names], "feature string, family string")
-    return known.join(families, "feature")
+    entries = [
+        F.struct(F.lit(c).alias("feature"), F.lit(family(c)).alias("family"), F.count(c).alias("known"))
+        for c in feature_names(df.columns)
+    ]
+    packed = df.agg(F.array(*entries).alias("_e"))
+    return packed.select(F.explode("_e").alias("_e")).select("_e.*")

@@ -118,6 +118,8 @@ def load_table(
 
 
 def scan_report_text(spark: SparkSession, path: str) -> DataFrame:
-    """Report text files to rows of ``cells``, tagged with their file as ``source``."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("source"))
+    """Report text to rows of ``cells``; ``source`` is the partition folder if named so, else the file."""
+    lines = spark.read.text(path)
+    if "source" not in lines.columns:
+        lines = lines.select("value", F.col("_metadata.file_name").alias("source"))
     return report_text.parse_lines(lines)

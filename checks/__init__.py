@@ -4,9 +4,27 @@ from __future__ import annotations
 
 from . import (
     cleaning,
+    explaining,
+    exploring,
+    expressions,
     features,
+    joining,
+    modelling,
     quality,
+    sources,
 )
 from .registry import oracles, queries
 
-__all__ = ["oracles", "queries"]
+__all__ = [
+    "cleaning",
+    "explaining",
+    "exploring",
+    "expressions",
+    "features",
+    "joining",
+    "modelling",
+    "oracles",
+    "quality",
+    "queries",
+    "sources",
+]
