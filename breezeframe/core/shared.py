@@ -24,6 +24,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a summary table once and read it back.
+
+    The result is computed once, survives lost executors, and has a known size: the planner broadcasts
+    it below ``spark.sql.autoBroadcastJoinThreshold`` and joins it by shuffle above. A lazily computed
+    summary has no size at planning time, so the large side would be shuffled for nothing.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives lost executors and ends the recomputation chain."""
     sc = df.sparkSession.sparkContext

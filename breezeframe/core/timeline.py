@@ -13,6 +13,8 @@ station holds a large share of the data.  A :class:`Timeline` cuts each station
 Looking back a bounded number of rows needs only context rows.  Unbounded fills use *carries*: the last
 known value before, and the first known value after, each bucket, computed on the bucket table.  Either
 way the readings are shuffled once, by (station, segment).
+
+The bucket table is counted by one job over the key columns when the window is set up.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import materialise
+
 DEFAULT_SEGMENT_ROWS = 50_000
 
 
@@ -128,7 +132,7 @@ class Timeline:
             table = table.withColumn("_targets", F.concat(*targets)).drop(
                 "_lo", "_hi", "_later", "_earlier", "_seg"
             )
-        joined = self._with_buckets(df, table.drop("_n"))
+        joined = self._with_buckets(df, materialise(table.drop("_n"), "buckets"))
         if before or after:
             joined = (
                 joined.withColumn("_target", F.explode("_targets"))
@@ -140,8 +144,8 @@ class Timeline:
         return joined
 
     def _with_buckets(self, df: DataFrame, table: DataFrame) -> DataFrame:
-        # No broadcast hint: the adaptive planner broadcasts the bucket table only when its measured
-        # size is below the session threshold. Null-safe equality keeps rows with null keys.
+        # No broadcast hint: the bucket table has a known size, so the planner broadcasts it only below
+        # the session threshold. Null-safe equality keeps rows with null keys.
         left = df.withColumn("_bucket", self.bucket(df))
         on = [*self.key, "_bucket"]
         right = table.select(

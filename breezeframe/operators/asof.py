@@ -92,16 +92,17 @@ def last_before(
     )
     tl = Timeline((key,), on, ("_kind",), base.grain, base.rows)
     mixed = _interleave(
-        probes, numbered, ["_pos"], key, on, probes_first=True
+        probes, numbered, ["_pos", "_n"], key, on, probes_first=True
     )
-    placed = tl.select(mixed, lambda f: {"_prev": f.last_known("_r")}, carry=["_r"]).where(
-        F.col("_p").isNotNull()
-    )
-    totals = readings.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    placed = tl.select(
+        mixed, lambda f: {"_prev": f.last_known("_r"), "_next": f.next_known("_r")}, carry=["_r"]
+    ).where(F.col("_p").isNotNull())
+    # Either neighbour knows the length of the series; a probe without any has no readings at all.
+    total = F.coalesce("_prev._n", "_next._n")
     k = F.coalesce(F.col("_prev._pos") + 1, F.lit(0))
-    end = F.when(k >= n, k).otherwise(F.col("_n"))
+    end = F.when(k >= n, k).otherwise(total)
     payload = [c for c in probes.columns if c not in (key, on)]
-    wanted = placed.join(totals, key).select(
+    wanted = placed.where(total.isNotNull()).select(
         key,
         F.col(on).alias("_probe_at"),
         *[F.col(f"_p.{c}").alias(c) for c in payload],

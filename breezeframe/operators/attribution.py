@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values: agreement limits, report sizes and cut-offs --------------
 STRONG, MODERATE = 2, 5
 WATERFALL_TOP = 12
 EXTRA_FEATURES, EXTRA_MIN = 3, 0.5
+# Scores are compared after rounding: equal ones are then ordered by name, not by their last bits.
+RANK_PLACES = 9
 FIXED_FEATURES = ("pm25", "pm10", "no2", "wind_speed", "humidity", "temperature")
 
 
+def _best(score: Column | str) -> Column:
+    return F.desc(F.round(score, RANK_PLACES))
+
+
 def roll_up(phi: DataFrame) -> DataFrame:
     """Mean absolute and mean phi per feature: overall, per station and per season, in one pass."""
     sums = phi.groupBy("feature", "station", "season").agg(
@@ -71,7 +77,7 @@ def fuse(scores: DataFrame, first: str, second: str) -> DataFrame:
         return F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0)
 
     fused = scores.withColumn("_s", span).withColumn("fused", (norm(first, 1) + norm(second, 2)) / 2)
-    by_fused = Window.orderBy(F.desc("fused"), "feature")
+    by_fused = Window.orderBy(_best("fused"), "feature")
     return fused.drop("_s").withColumn("rank", F.row_number().over(by_fused))
 
 
@@ -83,8 +89,8 @@ def compare_rankings(attribution: DataFrame, importance: DataFrame) -> DataFrame
     joined = joined.withColumn("importance", F.coalesce("importance", F.lit(0.0)))
     ranked = joined.withColumns(
         {
-            "attribution_rank": F.row_number().over(Window.orderBy(F.desc("attribution"), "feature")),
-            "importance_rank": F.row_number().over(Window.orderBy(F.desc("importance"), "feature")),
+            "attribution_rank": F.row_number().over(Window.orderBy(_best("attribution"), "feature")),
+            "importance_rank": F.row_number().over(Window.orderBy(_best("importance"), "feature")),
         }
     )
     gap = F.abs(F.col("attribution_rank") - F.col("importance_rank"))
@@ -97,7 +103,7 @@ def compare_rankings(attribution: DataFrame, importance: DataFrame) -> DataFrame
 def top_features(scores: DataFrame, score: str, n: int, absolute: bool = False) -> DataFrame:
     """The ``n`` highest (or largest in absolute value) with their rank."""
     key = F.abs(score) if absolute else F.col(score)
-    top = scores.withColumn("_k", key).orderBy(F.desc("_k"), "feature").limit(n)
+    top = scores.withColumn("_k", F.round(key, RANK_PLACES)).orderBy(F.desc("_k"), "feature").limit(n)
     ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("_k"), "feature")))
     return ranked.drop("_k")
 
@@ -107,7 +113,7 @@ def waterfall(phi: DataFrame, row: Sequence[str], n: int = WATERFALL_TOP) -> Dat
 
     A row has one entry per feature, so its window is as small as the feature list.
     """
-    w = Window.partitionBy(*row).orderBy(F.desc(F.abs("phi")), "feature")
+    w = Window.partitionBy(*row).orderBy(_best(F.abs("phi")), "feature")
     ranked = phi.select(*row, "feature", "phi", F.row_number().over(w).alias("_rn"))
     name = F.when(F.col("_rn") <= n, F.col("feature")).otherwise("other")
     return ranked.groupBy(*row, name.alias("feature")).agg(F.sum("phi").alias("phi"))
@@ -118,12 +124,12 @@ def display_selection(
 ) -> DataFrame:
     """The fixed features, and of the others the three largest above 0.5, ordered by phi."""
     is_fixed = F.col("feature").isin(*fixed)
-    w = Window.partitionBy(*row, is_fixed).orderBy(F.desc(F.abs("phi")), "feature")
+    w = Window.partitionBy(*row, is_fixed).orderBy(_best(F.abs("phi")), "feature")
     ranked = phi.select(*row, "feature", "phi", is_fixed.alias("_f"), F.row_number().over(w).alias("_rn"))
     kept = ranked.where(
         F.col("_f") | ((F.col("_rn") <= EXTRA_FEATURES) & (F.abs("phi") > EXTRA_MIN))
     )
-    order = Window.partitionBy(*row).orderBy(F.desc("phi"), "feature")
+    order = Window.partitionBy(*row).orderBy(_best("phi"), "feature")
     return kept.withColumn("place", F.row_number().over(order)).drop("_f", "_rn")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..core.quantiles import quantiles
 from ..core.schema import LIMITS
+from ..core.shared import materialise
 from ..functions.numeric import clamp
 
 # --- Fixed values: thresholds of the three methods --------------------------
@@ -56,13 +57,16 @@ def modified_zscore_fences(
     long = _long(df, columns, key)
     group = [key, "variable"]
     q = quantiles(long, group, "value", {"med": 0.5, "q1": 0.25, "q3": 0.75})
-    deviations = long.join(q.select(*group, "med"), group)
-    mad = quantiles(deviations, group, F.abs(F.col("value") - F.col("med")), {"mad": 0.5}).drop("n")
+    q = materialise(q.withColumnRenamed("n", "n_values"), "centres")
+    # The centres travel as grouping columns, so no join back is needed.
+    carried = [*group, "med", "q1", "q3", "n_values"]
+    deviations = long.join(q, group)
+    spread = quantiles(deviations, carried, F.abs(F.col("value") - F.col("med")), {"mad": 0.5})
     half = F.lit(k * Z_SCALE) * F.col("mad") / F.lit(NORMAL_MAD)
     lo, hi = _iqr(F.col("q1"), F.col("q3"), k)
-    return q.join(mad, group).select(
+    return spread.select(
         *group,
-        "n",
+        F.col("n_values").alias("n"),
         F.when(F.col("mad") == 0, lo).otherwise(F.col("med") - half).alias("lower"),
         F.when(F.col("mad") == 0, hi).otherwise(F.col("med") + half).alias("upper"),
     )
@@ -95,7 +99,8 @@ def learn(
     """Fences per station and column (long form), for columns with enough values."""
     if method not in METHODS:
         raise ValueError(f"unknown outlier method '{method}'")
-    return tighten(METHODS[method](df, columns, k, key).where(F.col("n") >= min_values)).drop("n")
+    enough = METHODS[method](df, columns, k, key).where(F.col("n") >= min_values)
+    return materialise(tighten(enough).drop("n"), "fences")
 
 
 def _wide(fences: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
@@ -122,8 +127,7 @@ def apply(
     key: str = "station",
 ) -> DataFrame:
     """``cap`` to the fence, ``nan`` to null, or ``drop`` rows with any value outside."""
-    # One row of fences per station; the join size decides itself at run time.
-    joined = df.join(_wide(fences, columns, key), key, "left")
+    joined = df.join(materialise(_wide(fences, columns, key), "wide-fences"), key, "left")
     if treatment == "cap":
         fixed = {
             c: F.when(
@@ -174,9 +178,8 @@ def upper_tail(df: DataFrame, columns: Sequence[str], factor: float = TAIL_FACTO
     """Values above q3 + factor * iqr per column, over all stations."""
     long = df.select(*columns).unpivot([], list(columns), "variable", "value")
     q = quantiles(long, ["variable"], "value", {"q1": 0.25, "q3": 0.75})
-    q = q.select(
-        "variable", (F.col("q3") + factor * (F.col("q3") - F.col("q1"))).alias("threshold")
-    )
+    threshold = F.col("q3") + factor * (F.col("q3") - F.col("q1"))
+    q = materialise(q.select("variable", threshold.alias("threshold")), "thresholds")
     return (
         long.join(q, "variable")
         .groupBy("variable")

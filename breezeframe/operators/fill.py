@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..core.quantiles import quantiles
+from ..core.shared import materialise
 from ..core.timeline import Timeline
 from .schema_ops import drop_incomplete
 
@@ -79,7 +80,8 @@ def _interpolate(df: DataFrame, columns: Sequence[str], timeline: Timeline) -> D
 def medians(df: DataFrame, columns: Sequence[str], key: str = "station") -> DataFrame:
     """Median per station and column (long form), the last resort of ``impute``."""
     long = df.unpivot([key], list(columns), "variable", "value")
-    return quantiles(long, [key, "variable"], "value", {"median": 0.5}).drop("n")
+    q = quantiles(long, [key, "variable"], "value", {"median": 0.5})
+    return materialise(q.drop("n"), "medians")
 
 
 def fill_with_medians(
@@ -89,7 +91,7 @@ def fill_with_medians(
     wide = learned.groupBy(key).agg(
         *[F.max(F.when(F.col("variable") == c, F.col("median"))).alias(f"_m_{c}") for c in columns]
     )
-    joined = df.join(wide, key, "left")
+    joined = df.join(materialise(wide, "wide-medians"), key, "left")
     fills = {c: F.coalesce(F.col(c), F.col(f"_m_{c}"), F.lit(0.0)) for c in columns}
     return joined.withColumns(fills).select(*df.columns)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import schema as S
+from ..core.shared import materialise
 
 # --- Fixed values: patterns and month names ---------------------------------
 STARTS_WITH_DATE = r"^\d{4}-\d{2}-\d{2}"
@@ -73,7 +74,8 @@ def map_layout(rows: DataFrame, layout: str, keep: Sequence[str] = ()) -> DataFr
 def recover_rows(lines: DataFrame, source: str = "source", text: str = "value") -> DataFrame:
     """Lines to canonical text columns, each source read with its own layout."""
     rows = parse_lines(lines, text).where(is_data_row(F.col("cells")))
-    tagged = rows.join(detect_layouts(rows, source).select(source, "layout"), source)
+    layouts = materialise(detect_layouts(rows, source).select(source, "layout"), "layouts")
+    tagged = rows.join(layouts, source)
     parts = [
         map_layout(tagged.where(F.col("layout") == name), name, keep=[source])
         for name in S.LAYOUTS

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core.shared import materialise
+
 # --- Fixed values: guards and binning ---------------------------------------
 EPSILON = 1e-8
 HISTOGRAM_BINS = 55
@@ -22,6 +24,7 @@ def persistence(df: DataFrame, lag: int = 1) -> DataFrame:
 def seasonal_mean(df: DataFrame, train: DataFrame, column: str = "aqi") -> DataFrame:
     """Training mean of the same month as prediction."""
     means = train.groupBy(F.month("date").alias("_month")).agg(F.avg(column).alias("prediction"))
+    means = materialise(means, "monthly")
     return df.join(means, F.month(df["date"]) == means["_month"], "left").drop("_month")
 
 
@@ -104,6 +107,7 @@ def residual_histogram(
         F.col("_r").isNotNull()
     )
     edges = rows.groupBy(*by).agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
+    edges = materialise(edges, "edges")
     width = (F.col("_hi") - F.col("_lo")) / bins
     slot = F.least(F.lit(bins - 1), F.floor((F.col("_r") - F.col("_lo")) / width))
     return (

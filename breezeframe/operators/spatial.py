@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core.shared import materialise
+
 # The anchors travel with every target as one array, so their number is checked.
 MAX_ANCHORS = 10_000
 
@@ -70,7 +72,7 @@ def blend(
     target: str = "target",
 ) -> DataFrame:
     """Weighted mean of the anchors' columns per target; anchors without a value drop out."""
-    used = weights.where(F.col("weight") > 0)
+    used = materialise(weights.where(F.col("weight") > 0), "weights")
     joined = used.join(readings, "station")
     sums = [
         (

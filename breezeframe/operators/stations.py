@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core.shared import materialise
 from ..functions.calendar import SEASONS
 
 # --- Fixed values: source column per learned statistic ----------------------
@@ -35,16 +36,17 @@ def learn_stations(train: DataFrame, places: int = 4) -> DataFrame:
         ],
     )
     filled = {season_column(s): F.coalesce(F.col(season_column(s)), grand) for s in SEASONS}
-    return stats.withColumns(filled).withColumn(
+    learned = stats.withColumns(filled).withColumn(
         "station_aqi_offset", F.round(F.col("station_mean_aqi") - grand, places)
     )
+    return materialise(learned, "stations")
 
 
 def season_means(train: DataFrame, places: int = 4) -> DataFrame:
     """Station by season pivot; a missing combination takes the grand mean."""
     grand = train.agg(F.avg("aqi").alias("g")).scalar()
     pivot = train.groupBy("station").pivot("season", list(SEASONS)).agg(F.round(F.avg("aqi"), places))
-    return pivot.withColumns({s: F.coalesce(F.col(s), grand) for s in SEASONS})
+    return materialise(pivot.withColumns({s: F.coalesce(F.col(s), grand) for s in SEASONS}), "seasons")
 
 
 def encode_stations(df: DataFrame, codes: Mapping[str, int]) -> DataFrame:

@@ -17,7 +17,7 @@ from ..functions.weather import diurnal
 from ..operators import asof, grid
 from ..operators.history import EPISODE_AQI
 from ..operators.requests import DELTA_FLOORS, DELTA_RANGE, month_terms
-from ..sources.shared import cut_lineage
+from ..core.shared import cut_lineage
 
 HISTORY_DAYS = 30
 HOURS = 24

@@ -14,7 +14,6 @@ from ..operators import dedupe, report_text
 from ..operators.schema_ops import attach_station, parse_timestamp, rename_aliases, trim_all
 
 DATE_HEADERS = tuple(a for a, c in ALIASES.items() if c == "date") + ("date",)
-_REPLACEMENT = "�"
 
 
 def probe_files(spark: SparkSession, folder: str, pattern: str) -> list[dict]:
@@ -24,10 +23,10 @@ def probe_files(spark: SparkSession, folder: str, pattern: str) -> list[dict]:
         .text(folder)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
-    header = F.when(_is_header(F.col("value")), F.col("value"))
+    header = F.when(_is_header(F.make_valid_utf8("value")), F.col("value"))
     per_file = lines.groupBy("path").agg(
         F.min(header).alias("header"),
-        F.max(F.contains("value", F.lit(_REPLACEMENT))).alias("broken"),
+        F.max(~F.is_valid_utf8("value")).alias("broken"),
     )
     try:
         rows = per_file.collect()  # one row per file, like the file listing itself

@@ -112,7 +112,7 @@ def _scored(spark, sf):
     + _SCORED
     + """, fused AS (SELECT feature, mean_abs, importance, ((mean_abs - l1) / (h1 - l1) + (importance - l2) / (h2 - l2)) / 2 AS fused FROM scored, span)
     SELECT feature, round(mean_abs, 6) AS mean_abs, round(importance, 6) AS importance, round(fused, 6) AS fused,
-      row_number() OVER (ORDER BY fused.fused DESC, feature)::INTEGER AS rank FROM fused""",
+      row_number() OVER (ORDER BY round(fused.fused, 9) DESC, feature)::INTEGER AS rank FROM fused""",
 )
 def _(spark, sf):
     out = attribution.fuse(_scored(spark, sf), "mean_abs", "importance")
@@ -124,8 +124,8 @@ def _(spark, sf):
     _BASE
     + _SCORED
     + """, part AS (SELECT feature, mean_abs AS attribution, CASE WHEN feature IN ('co', 'pressure') THEN 0 ELSE importance END AS importance FROM scored),
-    ranked AS (SELECT feature, attribution, importance, row_number() OVER (ORDER BY attribution DESC, feature) AS ar,
-      row_number() OVER (ORDER BY importance DESC, feature) AS ir FROM part)
+    ranked AS (SELECT feature, attribution, importance, row_number() OVER (ORDER BY round(attribution, 9) DESC, feature) AS ar,
+      row_number() OVER (ORDER BY round(importance, 9) DESC, feature) AS ir FROM part)
     SELECT feature, round(attribution, 6) AS attribution, round(importance, 6) AS importance, ar::INTEGER AS attribution_rank,
       ir::INTEGER AS importance_rank, abs(ar - ir)::INTEGER AS rank_difference,
       CASE WHEN abs(ar - ir) <= 2 THEN 'Strong' WHEN abs(ar - ir) <= 5 THEN 'Moderate' ELSE 'Weak' END AS agreement FROM ranked""",
@@ -140,8 +140,8 @@ def _(spark, sf):
 @check(
     "k3_top_features",
     _BASE
-    + """, top AS (SELECT feature, importance FROM fits ORDER BY importance DESC, feature LIMIT 5)
-    SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY top.importance DESC, feature)::INTEGER AS rank FROM top""",
+    + """, top AS (SELECT feature, importance FROM fits ORDER BY round(importance, 9) DESC, feature LIMIT 5)
+    SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY round(top.importance, 9) DESC, feature)::INTEGER AS rank FROM top""",
 )
 def _(spark, sf):
     out = attribution.top_features(_fit_rows(spark, sf).select("feature", "importance"), "importance", 5)
@@ -151,8 +151,8 @@ def _(spark, sf):
 @check(
     "k4_top_coefficients",
     _BASE
-    + """, top AS (SELECT feature, a FROM fits ORDER BY abs(a) DESC, feature LIMIT 4)
-    SELECT feature, round(a, 6) AS coefficient, row_number() OVER (ORDER BY abs(top.a) DESC, feature)::INTEGER AS rank FROM top""",
+    + """, top AS (SELECT feature, a FROM fits ORDER BY round(abs(a), 9) DESC, feature LIMIT 4)
+    SELECT feature, round(a, 6) AS coefficient, row_number() OVER (ORDER BY round(abs(top.a), 9) DESC, feature)::INTEGER AS rank FROM top""",
 )
 def _(spark, sf):
     rows = _fit_rows(spark, sf).select("feature", F.col("a").alias("coefficient"))
@@ -162,7 +162,7 @@ def _(spark, sf):
 @check(
     "k6_top_attributions_and_other",
     _BASE
-    + """, r AS (SELECT station, date, feature, phi, row_number() OVER (PARTITION BY station, date ORDER BY abs(phi) DESC, feature) AS rn FROM phi)
+    + """, r AS (SELECT station, date, feature, phi, row_number() OVER (PARTITION BY station, date ORDER BY round(abs(phi), 9) DESC, feature) AS rn FROM phi)
     SELECT station, date, CASE WHEN rn <= 4 THEN feature ELSE 'other' END AS feature, round(sum(phi), 6) AS phi FROM r
     GROUP BY station, date, CASE WHEN rn <= 4 THEN feature ELSE 'other' END""",
 )
@@ -174,8 +174,8 @@ def _(spark, sf):
     "k7_display_selection",
     _BASE
     + """, t AS (SELECT station, date, feature, phi, feature IN ('pm25', 'pm10', 'no2', 'wind_speed', 'humidity', 'temperature') AS fixed FROM phi),
-    r AS (SELECT *, row_number() OVER (PARTITION BY station, date, fixed ORDER BY abs(phi) DESC, feature) AS rn FROM t)
-    SELECT station, date, feature, round(phi, 6) AS phi, row_number() OVER (PARTITION BY station, date ORDER BY r.phi DESC, feature)::INTEGER AS place
+    r AS (SELECT *, row_number() OVER (PARTITION BY station, date, fixed ORDER BY round(abs(phi), 9) DESC, feature) AS rn FROM t)
+    SELECT station, date, feature, round(phi, 6) AS phi, row_number() OVER (PARTITION BY station, date ORDER BY round(r.phi, 9) DESC, feature)::INTEGER AS place
     FROM r WHERE fixed OR (rn <= 3 AND abs(phi) > 0.5)""",
 )
 def _(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from breezeframe.operators import attribution, scores
 from breezeframe.plans import features as plan
 from breezeframe.plans import training
-from breezeframe.sources.shared import cut_lineage
+from breezeframe.core.shared import cut_lineage
 
 from . import inputs as I
 from .exploring import SCORE_SQL

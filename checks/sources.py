@@ -8,7 +8,7 @@ from breezeframe.core import schema as S
 from breezeframe.operators import explore, report_text, schema_ops
 from breezeframe.plans import training
 from breezeframe.sources import readers, writers
-from breezeframe.sources.shared import scratch
+from breezeframe.core.shared import scratch
 
 from . import inputs as I
 from .registry import check
@@ -29,9 +29,9 @@ def _(spark, sf):
         F.col("pm25").alias("PM2.5"),
         F.col("pm10").alias("PM10"),
     )
-    # A third of the copies again in files of another shape: they are duplicates and must vanish.
+    # The same rows again in files with another column order: duplicates, which must vanish.
     raw.write.option("header", True).csv(folder)
-    raw.select("StationName", "Date", "AQI", "PM2.5", "PM10").write.mode("append").option(
+    raw.select("StationName", "Date", "AQI", "`PM2.5`", "PM10").write.mode("append").option(
         "header", True
     ).csv(folder)
     found = schema_ops.coerce(readers.scan_station_files(spark, folder, "unused", "part-*.csv"))
