@@ -22,22 +22,27 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Observation, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import materialise
 
 DEFAULT_SEGMENT_ROWS = 50_000
+DATE_GRAINS = ("YEAR", "MONTH", "DAY")
+TIME_GRAINS = ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND", "MILLISECOND")
 
 
 @dataclass(frozen=True)
 class Timeline:
     """How rows are ordered and cut.
 
-    ``grain`` is the bucket width: a ``trunc`` unit for dates and timestamps, or a number for numeric
-    axes.  One station's bucket table has one row per occupied bucket, so it is limited by the calendar
-    span; choose a grain that holds well under ``rows`` readings.
+    ``grain`` is the bucket width to start with: a calendar unit, or a number for numeric axes.  A bucket
+    that holds more than ``rows`` readings makes the count repeat with the next finer unit, so dense
+    stations are cut as well as sparse ones.  One station's bucket table has one row per occupied bucket
+    and is limited by the calendar span.
+
+    Order values must be unique per key (deduplicate first): rows with equal ``order`` share a bucket.
     """
 
     key: tuple[str, ...] = ("station",)
@@ -46,15 +51,30 @@ class Timeline:
     grain: str | int | None = None
     rows: int = DEFAULT_SEGMENT_ROWS
 
-    def bucket(self, df: DataFrame) -> Column:
+    def grains(self, df: DataFrame) -> list[str | int]:
+        """Bucket widths from the starting one to the finest."""
+        kind = df.schema[self.order].dataType
+        if isinstance(kind, T.DateType):
+            units: list[str | int] = list(DATE_GRAINS)
+            start = self.grain or "MONTH"
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            units = list(TIME_GRAINS)
+            start = self.grain or "DAY"
+        else:
+            start = int(self.grain or self.rows)
+            units = [max(1, start // 16**i) for i in range(8)]
+            return list(dict.fromkeys(units))
+        return units[units.index(start) :]
+
+    def bucket(self, df: DataFrame, grain: str | int) -> Column:
         kind = df.schema[self.order].dataType
         if isinstance(kind, T.DateType):
-            return F.trunc(self.order, str(self.grain or "MONTH"))
+            return F.col(self.order) if grain == "DAY" else F.trunc(self.order, str(grain))
         if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_trunc(str(self.grain or "DAY"), self.order)
-        return F.floor(F.col(self.order) / F.lit(self.grain or self.rows))
+            return F.date_trunc(str(grain), self.order)
+        return F.floor(F.col(self.order) / F.lit(grain))
 
-    def buckets(self, df: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    def buckets(self, df: DataFrame, grain: str | int, carry: Sequence[str] = ()) -> DataFrame:
         """One row per (key, bucket): size, position of the first row, station total and carries."""
         aggs = [F.count(F.lit(1)).alias("_n")]
         for c in carry:
@@ -65,7 +85,7 @@ class Timeline:
                 F.min_by(c, at).alias(f"_first_{c}"),
                 F.min(at).alias(f"_first_at_{c}"),
             ]
-        table = df.groupBy(*self.key, self.bucket(df).alias("_bucket")).agg(*aggs)
+        table = df.groupBy(*self.key, self.bucket(df, grain).alias("_bucket")).agg(*aggs)
         w = Window.partitionBy(*self.key).orderBy("_bucket")
         before = w.rowsBetween(Window.unboundedPreceding, -1)
         after = w.rowsBetween(1, Window.unboundedFollowing)
@@ -89,7 +109,24 @@ class Timeline:
         self, df: DataFrame, before: int = 0, after: int = 0, carry: Sequence[str] = ()
     ) -> DataFrame:
         """Tag rows with their segment, adding the copies that other segments need as context."""
-        table = self.buckets(df, carry)
+        grains = self.grains(df)
+        for grain in grains:
+            sizes = Observation()
+            plan = self.plan(self.buckets(df, grain, carry), before, after)
+            table = materialise(plan.observe(sizes, F.max("_n").alias("largest")), "buckets")
+            if (sizes.get["largest"] or 0) <= self.rows:
+                break
+        joined = self._with_buckets(df, table.drop("_n"), grain)
+        if before or after:
+            return (
+                joined.withColumn("_target", F.explode("_targets"))
+                .withColumns({"_seg": F.col("_target.seg"), "_home": F.col("_target.home")})
+                .drop("_target", "_targets")
+            )
+        return joined.withColumn("_home", F.lit(True))
+
+    def plan(self, table: DataFrame, before: int, after: int) -> DataFrame:
+        """Add to each bucket the segments it belongs to and those it is context for."""
         w = Window.partitionBy(*self.key).orderBy("_bucket")
         in_seg = Window.partitionBy(*self.key, "_seg")
         own = F.array(F.struct(F.col("_seg").alias("seg"), F.lit(True).alias("home")))
@@ -132,21 +169,12 @@ class Timeline:
             table = table.withColumn("_targets", F.concat(*targets)).drop(
                 "_lo", "_hi", "_later", "_earlier", "_seg"
             )
-        joined = self._with_buckets(df, materialise(table.drop("_n"), "buckets"))
-        if before or after:
-            joined = (
-                joined.withColumn("_target", F.explode("_targets"))
-                .withColumns({"_seg": F.col("_target.seg"), "_home": F.col("_target.home")})
-                .drop("_target", "_targets")
-            )
-        else:
-            joined = joined.withColumn("_home", F.lit(True))
-        return joined
+        return table
 
-    def _with_buckets(self, df: DataFrame, table: DataFrame) -> DataFrame:
+    def _with_buckets(self, df: DataFrame, table: DataFrame, grain: str | int) -> DataFrame:
         # No broadcast hint: the bucket table has a known size, so the planner broadcasts it only below
         # the session threshold. Null-safe equality keeps rows with null keys.
-        left = df.withColumn("_bucket", self.bucket(df))
+        left = df.withColumn("_bucket", self.bucket(df, grain))
         on = [*self.key, "_bucket"]
         right = table.select(
             *[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in table.columns if c not in on]

@@ -16,22 +16,22 @@ from ..core.timeline import Timeline
 
 
 def _interleave(
-    probes: DataFrame, readings: DataFrame, values: Sequence[str], key: str, on: str, probes_first: bool
+    times: DataFrame, readings: DataFrame, values: Sequence[str], key: str, on: str, times_first: bool
 ) -> DataFrame:
-    payload = [c for c in probes.columns if c not in (key, on)]
     r = readings.select(
         key,
         on,
-        F.lit(1 if probes_first else 0).alias("_kind"),
+        F.lit(1 if times_first else 0).alias("_kind"),
         F.struct(F.col(on).alias("_at"), *values).alias("_r"),
     )
-    p = probes.select(
-        key,
-        on,
-        F.lit(0 if probes_first else 1).alias("_kind"),
-        F.struct(F.lit(True).alias("_probe"), *payload).alias("_p"),
+    return r.unionByName(
+        times.select(key, on, F.lit(0 if times_first else 1).alias("_kind")), allowMissingColumns=True
     )
-    return r.unionByName(p, allowMissingColumns=True)
+
+
+def _times(probes: DataFrame, key: str, on: str) -> DataFrame:
+    """Each probed moment once: many probes of one moment collapse before the shuffle."""
+    return probes.select(key, on).distinct()
 
 
 def _distance(df: DataFrame, on: str, a: Column, b: Column) -> Column:
@@ -54,23 +54,19 @@ def nearest(
     """Per probe the reading of its key with the least time difference, the earlier one on a tie."""
     base = timeline or Timeline()
     tl = Timeline((key,), on, ("_kind",), base.grain, base.rows)
-    mixed = _interleave(probes, readings, values, key, on, probes_first=False)
+    mixed = _interleave(_times(probes, key, on), readings, values, key, on, times_first=False)
     found = tl.select(
         mixed, lambda f: {"_prev": f.last_known("_r"), "_next": f.next_known("_r")}, carry=["_r"]
-    ).where(F.col("_p").isNotNull())
+    ).where(F.col("_kind") == 1)
     back = _distance(mixed, on, F.col("_prev._at"), F.col(on))
     ahead = _distance(mixed, on, F.col(on), F.col("_next._at"))
     pick = F.when(
         F.col("_next").isNull() | (F.col("_prev").isNotNull() & (back <= ahead)), F.col("_prev")
     ).otherwise(F.col("_next"))
-    payload = [c for c in probes.columns if c not in (key, on)]
-    return found.withColumn("_hit", pick).select(
-        key,
-        on,
-        *[F.col(f"_p.{c}").alias(c) for c in payload],
-        F.col("_hit._at").alias("matched_date"),
-        *[F.col(f"_hit.{c}").alias(c) for c in values],
+    hits = found.withColumn("_hit", pick).select(
+        key, on, F.col("_hit._at").alias("matched_date"), *[F.col(f"_hit.{c}").alias(c) for c in values]
     )
+    return probes.join(hits, [key, on], "left")
 
 
 def last_before(
@@ -91,30 +87,26 @@ def last_before(
         readings.select(key, on, *values), "_pos", total="_n"
     )
     tl = Timeline((key,), on, ("_kind",), base.grain, base.rows)
-    mixed = _interleave(
-        probes, numbered, ["_pos", "_n"], key, on, probes_first=True
-    )
+    mixed = _interleave(_times(probes, key, on), numbered, ["_pos", "_n"], key, on, times_first=True)
     placed = tl.select(
         mixed, lambda f: {"_prev": f.last_known("_r"), "_next": f.next_known("_r")}, carry=["_r"]
-    ).where(F.col("_p").isNotNull())
-    # Either neighbour knows the length of the series; a probe without any has no readings at all.
+    ).where(F.col("_kind") == 0)
+    # Either neighbour knows the length of the series; a moment without any has no readings at all.
     total = F.coalesce("_prev._n", "_next._n")
     k = F.coalesce(F.col("_prev._pos") + 1, F.lit(0))
     end = F.when(k >= n, k).otherwise(total)
-    payload = [c for c in probes.columns if c not in (key, on)]
     wanted = placed.where(total.isNotNull()).select(
         key,
         F.col(on).alias("_probe_at"),
-        *[F.col(f"_p.{c}").alias(c) for c in payload],
         F.explode(F.sequence(F.greatest(F.lit(0), end - n), end - 1)).alias("_pos"),
         end.alias("_end"),
     )
     rows = numbered.select(key, "_pos", F.col(on).alias("matched_date"), *values)
-    return wanted.join(rows, [key, "_pos"]).select(
+    hits = wanted.join(rows, [key, "_pos"]).select(
         key,
         F.col("_probe_at").alias(on),
-        *payload,
         (F.col("_end") - F.col("_pos")).cast("int").alias("back"),
         "matched_date",
         *values,
     )
+    return probes.join(hits, [key, on])

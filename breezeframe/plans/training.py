@@ -28,7 +28,7 @@ ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 500.0)
 MAX_TREE_DEPTH = 30
 DEPTHS = (3, 5, 7, 10, 15, 20, MAX_TREE_DEPTH)
 TREE = {"minInstancesPerNode": 5}
-FOREST = {"numTrees": 300, "maxDepth": 15, "minInstancesPerNode": 3, "featureSubsetStrategy": "sqrt"}
+FOREST = {"numTrees": 300, "maxMemoryInMB": 1024, "maxDepth": 15, "minInstancesPerNode": 3, "featureSubsetStrategy": "sqrt"}
 BOOSTING = {
     "maxIter": 400,
     "stepSize": 0.05,
