@@ -55,7 +55,9 @@ def station_weights(targets: DataFrame, anchors: DataFrame, target: str = "targe
         .withColumn("_on", on_anchor)
         .withColumn("_w", raw)
         .withColumn("_t", total)
-        .select(target, "_t", F.explode("_w").alias("_e"))
+        # The outer variant keeps the optimizer from evaluating the whole chain once more as a filter.
+        .select(target, "_t", F.explode_outer("_w").alias("_e"))
+        .where(F.col("_e").isNotNull())
         .select(
             target,
             F.col("_e.station").alias("station"),

@@ -110,7 +110,8 @@ def _long(df: DataFrame, row: Sequence[str], features: Sequence[str], phi: Colum
         *row,
         F.col("_fx").alias("prediction"),
         F.col("_base").alias("base"),
-        F.posexplode(phi).alias("_j", "phi"),
+        # The outer variant keeps the optimizer from evaluating the attribution once more as a filter.
+        F.posexplode_outer(phi).alias("_j", "phi"),
     ).select(*row, F.get(names, F.col("_j")).alias("feature"), "phi", "prediction", "base")
 
 

@@ -123,7 +123,7 @@ def forecast_hours(
         "at",
         *extra,
         "hour",
-        F.posexplode(F.array(*[F.col(f"_pred{b}") for b in range(BLOCKS)])).alias("_b", "prediction"),
+        F.posexplode_outer(F.array(*[F.col(f"_pred{b}") for b in range(BLOCKS)])).alias("_b", "prediction"),
     )
     return (
         kept.withColumn("hours", F.col("hour") + HOURS * F.col("_b"))
@@ -279,7 +279,7 @@ def what_if_steps(
         state = _what_if_step(state, i, features, given, model)
         if i % cut_every == 0 and i < steps:
             state = cut_lineage(state)
-    return state.select("scenario", "at", F.posexplode("_out").alias("_i", "_v")).select(
+    return state.select("scenario", "at", F.posexplode_outer("_out").alias("_i", "_v")).select(
         "scenario", "at", (F.col("_i") + 1).alias("hours"), F.floor("_v").cast("int").alias("aqi")
     )
 

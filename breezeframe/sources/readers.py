@@ -23,7 +23,10 @@ def probe_files(spark: SparkSession, folder: str, pattern: str) -> list[dict]:
         .text(folder)
         .select("value", F.col("_metadata.file_path").alias("path"))
     )
-    header = F.when(_is_header(F.make_valid_utf8("value")), F.col("value"))
+    text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
+        F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    )
+    header = F.when(_is_header(text), text)
     per_file = lines.groupBy("path").agg(
         F.min(header).alias("header"),
         F.max(~F.is_valid_utf8("value")).alias("broken"),
