@@ -88,7 +88,10 @@ class Timeline:
         table = df.groupBy(*self.key, self.bucket(df, grain).alias("_bucket")).agg(*aggs)
         w = Window.partitionBy(*self.key).orderBy("_bucket")
         before = w.rowsBetween(Window.unboundedPreceding, -1)
-        after = w.rowsBetween(1, Window.unboundedFollowing)
+        # Looking ahead runs over the reversed order: a growing frame costs one step per row, a frame
+        # that ends at the last row is evaluated anew for every row.
+        backwards = Window.partitionBy(*self.key).orderBy(F.desc("_bucket"))
+        after = backwards.rowsBetween(Window.unboundedPreceding, -1)
         cols = {
             "_start": F.coalesce(F.sum("_n").over(before), F.lit(0)),
             "_total": F.sum("_n").over(Window.partitionBy(*self.key)),
@@ -96,8 +99,8 @@ class Timeline:
         for c in carry:
             cols[f"_prev_{c}"] = F.last(f"_last_{c}", True).over(before)
             cols[f"_prev_at_{c}"] = F.last(f"_last_at_{c}", True).over(before)
-            cols[f"_next_{c}"] = F.first(f"_first_{c}", True).over(after)
-            cols[f"_next_at_{c}"] = F.first(f"_first_at_{c}", True).over(after)
+            cols[f"_next_{c}"] = F.last(f"_first_{c}", True).over(after)
+            cols[f"_next_at_{c}"] = F.last(f"_first_at_{c}", True).over(after)
         drop = [f"_{p}_{c}" for c in carry for p in ("last", "last_at", "first", "first_at")]
         return (
             table.withColumns(cols)
@@ -184,8 +187,9 @@ class Timeline:
             cond = cond & left[c].eqNullSafe(right[f"_k_{c}"])
         return left.join(right, cond, "inner").drop(*[f"_k_{c}" for c in on])
 
-    def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.key, "_seg").orderBy(self.order, *self.tie)
+    def window(self, *, backwards: bool = False) -> WindowSpec:
+        by = [F.desc(c) if backwards else F.asc(c) for c in (self.order, *self.tie)]
+        return Window.partitionBy(*self.key, "_seg").orderBy(*by)
 
     def select(
         self,
@@ -205,7 +209,7 @@ class Timeline:
         segment number in the result.
         """
         tagged = self.segments(df, before, after, carry)
-        frame = Frame(self.window())
+        frame = Frame(self.window(), self.window(backwards=True))
         if rows_as:
             tagged = tagged.withColumn(rows_as, frame.position())
         added = build(frame)
@@ -230,6 +234,7 @@ class Frame:
     """The window handed to ``Timeline.select`` callbacks."""
 
     ordered: WindowSpec
+    backwards: WindowSpec
 
     def rows(self, lo: int, hi: int) -> WindowSpec:
         return self.ordered.rowsBetween(lo, hi)
@@ -250,10 +255,11 @@ class Frame:
         return F.coalesce(F.last(at, True).over(w), F.col(f"_prev_at_{c}"))
 
     def next_known(self, c: str) -> Column:
-        w = self.rows(0, Window.unboundedFollowing)
-        return F.coalesce(F.first(c, True).over(w), F.col(f"_next_{c}"))
+        """First non-null value at or after this row, over the whole series."""
+        w = self.backwards.rowsBetween(Window.unboundedPreceding, 0)
+        return F.coalesce(F.last(c, True).over(w), F.col(f"_next_{c}"))
 
     def next_known_at(self, c: str, order: str) -> Column:
-        w = self.rows(0, Window.unboundedFollowing)
+        w = self.backwards.rowsBetween(Window.unboundedPreceding, 0)
         at = F.when(F.col(c).isNotNull(), F.col(order))
-        return F.coalesce(F.first(at, True).over(w), F.col(f"_next_at_{c}"))
+        return F.coalesce(F.last(at, True).over(w), F.col(f"_next_at_{c}"))
