@@ -16,7 +16,8 @@ def shared_folder(spark: SparkSession) -> str:
         return configured
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
