@@ -12,13 +12,15 @@ from ..core.schema import KEY
 
 
 def keep_first(df: DataFrame, priority: Sequence[str], keys: Sequence[str] = KEY) -> DataFrame:
-    """One row per key: the lowest ``priority``, then the lowest remaining values.
+    """One row per key: the lowest ``priority``, then the lowest remaining values; a null never wins over a value.
 
     Each map task keeps one candidate per key, so a key with very many copies costs one row per task.
     """
     rest = [c for c in df.columns if c not in keys and c not in priority]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*priority, *rest)).alias("_best"))
-    return best.select(*[c if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
+    # Nulls sort first, so each value is preceded by whether it is missing.
+    ranked = [x for c in (*priority, *rest) for x in (F.col(c).isNull().alias(f"_no_{c}"), F.col(c))]
+    best = df.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("_best"))
+    return best.select(*[c if c in keys else F.col("_best").getField(c).alias(c) for c in df.columns])
 
 
 def concat_frames(frames: Sequence[DataFrame]) -> DataFrame:

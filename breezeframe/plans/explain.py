@@ -57,8 +57,6 @@ def coalition_attribution(
     regression collapses to one weighted sum per feature inside the map tasks.
     """
     n = len(features)
-    if coalitions * n > MAX_PLAN_CELLS:
-        raise ValueError("coalition plan too large to send to every executor")
     masks, projection = coalition_plan(n, coalitions, seed)
     plan = df.sparkSession.createDataFrame(
         [
@@ -75,11 +73,12 @@ def coalition_attribution(
     ).scalar()
     rows = df.dropna(subset=list(features)).select(*row, values.alias("_x"))
     whole = predict_vectors(model, rows, "_x").withColumnRenamed("prediction", "_fx")
-    # The plan holds at most MAX_PLAN_CELLS numbers, checked above.
+    # A plan is broadcast up to MAX_PLAN_CELLS numbers; a larger one is joined by shuffle.
+    plan = F.broadcast(plan) if coalitions * n <= MAX_PLAN_CELLS else plan
     paired = (
         whole.withColumn("_c", centre)
         .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))))
-        .join(F.broadcast(plan), "m")
+        .join(plan, "m")
     )
     mixed = F.transform(
         F.arrays_zip("_x", "_c", "keep"),

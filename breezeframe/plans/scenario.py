@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core.shared import materialise
 from ..core.timeline import Timeline
 from ..functions import air
 from ..functions import calendar as cal
@@ -54,10 +55,11 @@ def half_days(readings: DataFrame, columns: Sequence[str], timeline: Timeline =
     ``(00:00, 12:00]`` or ``(12:00, 24:00]``: two lookups per day serve all hours. ``days[i]`` is the
     value ``BLOCKS - 1 - i`` days ahead.
     """
-    # The spine reaches past both ends so that arrays are complete for every request.
+    # The spine reaches past both ends until arrays hold the first or the last reading only; moments
+    # further out have the same arrays (``_covered``).
     span = readings.groupBy("station").agg(
         F.date_sub(F.min(F.col("date").cast("date")), 2 * HISTORY_DAYS).alias("lo"),
-        F.date_add(F.max(F.col("date").cast("date")), 3 * BLOCKS).alias("hi"),
+        F.date_add(F.max(F.col("date").cast("date")), HISTORY_DAYS + 2 * BLOCKS).alias("hi"),
     )
     days = grid.spine(span, "DAY", name="day")
     slots = days.select(
@@ -97,6 +99,10 @@ def forecast_hours(
     """
     cols = list(columns or [c for c in MEASURED if c in readings.columns])
     dense = half_days(readings, cols, timeline)
+    span = readings.groupBy("station").agg(
+        F.min(F.col("date").cast("date")).alias("_from"), F.max(F.col("date").cast("date")).alias("_to")
+    )
+    span = materialise(span.where(F.col("station").isNotNull()), "forecast-span")
     overrides = [c for c in cols if f"o_{c}" in requests.columns]
     hours = requests.select(
         "request",
@@ -108,9 +114,10 @@ def forecast_hours(
     )
     when = F.col("at") + F.make_dt_interval(hours=F.col("hour"))
     slot = _slot(when)
-    rows = hours.withColumn("_when", when).withColumns(slot)
+    rows = _covered(hours.withColumn("_when", when).withColumns(slot), span)
     # Overrides are relative to the reading nearest to the request itself.
     anchor = requests.select("request", "station", F.col("at").alias("_at")).withColumns(_slot(F.col("_at")))
+    anchor = _covered(anchor, span)
     deltas = anchor.join(dense, ["station", "day", "half"]).select(
         "request", F.get("days", F.lit(BLOCKS - 1)).alias("_base")
     )
@@ -125,11 +132,29 @@ def forecast_hours(
         "hour",
         F.posexplode_outer(F.array(*[F.col(f"_pred{b}") for b in range(BLOCKS)])).alias("_b", "prediction"),
     )
-    return (
+    answered = (
         kept.withColumn("hours", F.col("hour") + HOURS * F.col("_b"))
         .where(F.col("hours") <= LAST_HOUR)
         .drop("hour", "_b")
     )
+    # A station without readings has no nearest one: its requests stay, without predictions.
+    unknown = requests.join(span, "station", "left_anti").select(
+        "request",
+        "station",
+        "at",
+        *extra,
+        F.lit(None).cast("double").alias("prediction"),
+        F.explode(F.sequence(F.lit(0), F.lit(LAST_HOUR))).alias("hours"),
+    )
+    return answered.unionByName(unknown)
+
+
+def _covered(rows: DataFrame, span: DataFrame) -> DataFrame:
+    """Move ``day`` to the nearest day that has arrays; beyond it only the first or last reading is nearest."""
+    first = F.date_sub("_from", HISTORY_DAYS)
+    last = F.date_add("_to", HISTORY_DAYS + BLOCKS)
+    day = F.greatest(first, F.least(last, F.col("day")))
+    return rows.join(span, "station").withColumn("day", day).drop("_from", "_to")
 
 
 def _slot(when: Column) -> dict[str, Column]:
@@ -241,6 +266,7 @@ def read_out(hourly: DataFrame, horizons: Sequence[int] = air.HORIZONS) -> DataF
         F.round(lower, 2).alias("lower"),
         F.round(upper, 2).alias("upper"),
         air.advisory(F.col("prediction")).alias("advisory"),
+        F.when(F.col("prediction").isNull(), "no readings at this station").alias("reason"),
     )
 
 

@@ -17,23 +17,33 @@ DATE_HEADERS = tuple(a for a, c in ALIASES.items() if c == "date") + ("date",)
 
 
 def probe_files(spark: SparkSession, folder: str, pattern: str) -> list[dict]:
-    """Header, separator and encoding of every matching file, from one distributed text scan."""
+    """Header, separator and encoding of every matching file, from one distributed text scan.
+
+    The header is the first line of a file that is not blank, if it names a date column; no later line is one.
+    """
     lines = (
         spark.read.option("pathGlobFilter", pattern)
         .text(folder)
-        .select("value", F.col("_metadata.file_path").alias("path"))
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("path"),
+            # Rows of one block come in order, so the smallest number in the first block is the first line.
+            F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+        )
     )
     text = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(
         F.decode(F.col("value").cast("binary"), "ISO-8859-1")
     )
-    header = F.when(_is_header(text), text)
+    start = F.col("at").isNotNull() & (F.trim(text) != "")
     per_file = lines.groupBy("path").agg(
-        F.min(header).alias("header"),
+        F.min(F.when(start, F.struct("at", text.alias("line")))).alias("first"),
         F.max(~F.is_valid_utf8("value")).alias("broken"),
-    )
+    ).select("path", F.when(_is_header(F.col("first.line")), F.col("first.line")).alias("header"), "broken")
     try:
         rows = per_file.collect()  # one row per file, like the file listing itself
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return []
     return [
         {

@@ -16,7 +16,7 @@ _X = ["pm25", "pm10", "no2", "co", "o3", "temperature", "humidity", "wind_speed"
 _SEASON = """CASE WHEN month(date) IN (11, 12, 1, 2) THEN 'Winter' WHEN month(date) IN (3, 4) THEN 'Spring'
   WHEN month(date) IN (5, 6) THEN 'Summer' WHEN month(date) IN (7, 8, 9) THEN 'Monsoon' ELSE 'Post_Monsoon' END"""
 _PHI = f"""
-fits AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, regr_slope(aqi, {c}) AS a, avg({c}) AS m, abs(corr(aqi, {c})) AS importance FROM split WHERE split = 'train'" for c in _X)}),
+fits AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, round(regr_slope(aqi, {c}), 9) AS a, round(avg({c}), 9) AS m, abs(corr(aqi, {c})) AS importance FROM split WHERE split = 'train'" for c in _X)}),
 wide AS ({' UNION ALL '.join(f"SELECT station, date, {_SEASON} AS season, '{c}' AS feature, {c} AS x FROM split" for c in _X)}),
 phi AS (SELECT station, date, season, feature, a * (x - m) AS phi FROM wide JOIN fits USING (feature))"""
 _BASE = I.with_(I.DAILY, I.SPLIT, _PHI)
@@ -27,8 +27,9 @@ def _fits(spark, sf):
     entries = [
         F.struct(
             F.lit(c).alias("feature"),
-            F.regr_slope("aqi", c).alias("a"),
-            F.avg(c).alias("m"),
+            # Rounded in both engines before anything is ranked by them.
+            F.round(F.regr_slope("aqi", c), 9).alias("a"),
+            F.round(F.avg(c), 9).alias("m"),
             F.abs(F.corr("aqi", c)).alias("importance"),
         )
         for c in _X
@@ -207,10 +208,12 @@ def _(spark, sf):
     rows = model_rows(spark, sf)
     model = training.linear_model(rows.where("split = 'train'"), FEATURES)
     d = I.daily(spark, sf)
-    requests = d.select(
-        F.concat_ws(" ", "station", F.col("date").cast("string")).alias("request"),
+    # Every reading asks for its own moment, for one decades before and one decades after, and at a place without readings.
+    where = F.explode(F.array(*(F.struct(F.lit(y).alias("years"), s.alias("station")) for y, s in ((0, F.col("station")), (-40, F.col("station")), (40, F.col("station")), (0, F.lit("no such place"))))))
+    requests = d.withColumn("_w", where).withColumn("o_station", F.col("station")).withColumn("station", F.col("_w.station")).select(
+        F.concat_ws(" ", "o_station", F.col("date").cast("string"), F.col("_w.years").cast("string"), "station").alias("request"),
         "station",
-        (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.dayofmonth("date") % 24)).alias("at"),
+        (F.add_months("date", 12 * F.col("_w.years")).cast("timestamp_ntz") + F.make_dt_interval(hours=F.dayofmonth("date") % 24)).alias("at"),
         F.when(F.col("aqi") > 300, F.col("pm25") * 1.5).alias("o_pm25"),
         F.when(F.col("aqi") < 100, F.lit(90.0)).alias("o_humidity"),
     )
