@@ -191,7 +191,7 @@ def _(spark, sf):
     rows = model_rows(spark, sf)
     train = rows.where("split = 'train'")
     model = training.tree_model(train, _TREE_FEATURES, 6)
-    return explain.coalition_attribution(model, rows.where("split = 'test'"), train, _TREE_FEATURES, coalitions=64)
+    return explain.coalition_attribution(model, rows.where("split = 'test'"), train, _TREE_FEATURES)
 
 
 @check("m14_occlusion_attribution")

@@ -63,11 +63,11 @@ def _(spark, sf):
 
 @check(
     "s3_external_table",
-    "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS name FROM orders WHERE month(o_orderdate) = 1",
+    "SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS name FROM orders",
 )
 def _(spark, sf):
     path = scratch(spark, "holidays")
-    o = I.table(spark, sf, "orders").where(F.month("o_orderdate") == 1)
+    o = I.table(spark, sf, "orders")
     o.select(F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderstatus").alias("name")).distinct().write.option(
         "header", True
     ).csv(path)
