@@ -43,7 +43,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("c").alias("u"), F.col("p").alias("v")).unionByName(
         edges.select(F.col("p").alias("u"), F.col("c").alias("v"))
     )
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join deals both sides itself and a hub with most links can be split.
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "component-minima")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("c"), F.col("m").alias("p")).distinct()
 
 

@@ -139,7 +139,8 @@ def exact_groups(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     members = rows.drop("content", "h").join(resolved, "entry").drop("entry")
     best = F.min(F.struct((-F.col("points")).alias("short"), F.col("doc_id").alias("id")))
     groups = members.groupBy("class").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("class", F.col("best.id").alias("keep_id"), "group_size")
+    # Written, so that the join below deals both sides itself and a class with most rows can be split.
+    groups = materialise(groups.select("class", F.col("best.id").alias("keep_id"), "group_size"), "grace-groups")
     out = members.join(groups, "class")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("sha").alias("text_sha256"))

@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 80) -> Dat
     )
     banded = reps.select("id", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
+    shared = materialise(shared, "sketch-shared")  # of known size, and a bucket with most documents can be split
     members = materialise(banded.join(shared, ["band", "key"]).select("band", "key", "id", "hub", "n"), "sketch-buckets")
     ids = members.select("id").distinct()
     wanted = materialise(texts.withColumnRenamed("doc_id", "id").join(ids, "id").dropDuplicates(["id"]), "sketch-texts")

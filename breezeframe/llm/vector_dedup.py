@@ -29,7 +29,7 @@ COSINE = 0.93
 PASSES = 12
 BITS = 40
 WINDOW = 256
-BLOCK = 1024
+BLOCK = 256
 
 
 def unit_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
