@@ -272,6 +272,46 @@ def test_lines(spark, empty):
     assert line_dedup.without_repeats(df).count() == 6 and line_dedup.without_repeats(empty).count() == 0
 
 
+def words_apart(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_groups_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocab = [f"t{k}" for k in range(300)]
+    lines = []
+    for _ in range(30):
+        base = rng.choices(vocab, k=rng.choice([1, 3, 12, 60, 90]))
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            lines.append(" ".join(copy))
+    rng.shuffle(lines)
+    docs = {k: lines[3 * k : 3 * k + 3] for k in range(-(-len(lines) // 3))}
+    df = spark.createDataFrame([(k, "\n".join(x)) for k, x in docs.items()], "doc_id long, text string")
+    places = line_dedup.hashed_lines(df)
+    sign = {r.id: r.simhash for r in places.collect()}
+    words = {r.id: r.words for r in line_dedup._lines(df).collect()}
+    near = lambda a, b: ((sign[a] ^ sign[b]) & (2**64 - 1)).bit_count() <= line_dedup.DISTANCE
+    alike = lambda a, b: 5 * words_apart(words[a], words[b]) <= max(len(words[a]), len(words[b]))
+    links = [(a, b) for a, b in itertools.combinations(words, 2) if near(a, b) and alike(a, b)]
+    want = closure(words, links)
+    assert len(links) > 10
+    assert {r.id: r.component for r in line_dedup.line_groups(df, places).collect()} == want
+
+    group = {" ".join(w): want[i] for i, w in words.items()}
+    seen, kept = set(), {}
+    for k, texts in docs.items():
+        kept[k] = "\n".join(t for t in texts if not (group[t] in seen or seen.add(group[t])))
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()} == kept
+
+
 def test_revisits(spark):
     h = "map<string,string>"
     rows = [
