@@ -312,6 +312,20 @@ def test_line_groups_equal_brute_force(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()} == kept
 
 
+def test_simhash_counts_every_word_of_a_line(spark):
+    rng = random.Random(13)
+    bases = [[f"{rng.getrandbits(60):x}" for _ in range(n)] for n in (1, 7, 993, 994, 995, 2500)]
+    pairs = [[f"{rng.getrandbits(60):x}" for _ in range(1001)] for _ in range(6)]
+    lines = [" ".join(x) for x in [*bases, *pairs, *(x[:1000] for x in pairs)]]
+    df = spark.createDataFrame(list(enumerate([*lines, lines[5]])), "doc_id long, text string")
+    hashes = df.select("doc_id", F.array_distinct(F.transform(F.split("text", " "), lambda w: F.xxhash64(w, F.lit(5)))).alias("h")).collect()
+    want = {i: sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h)) for i, h in hashes}
+    places = line_dedup.hashed_lines(df)
+    assert {r.doc_id: r.simhash & (2**64 - 1) for r in places.collect()} == want
+    group = {r.doc_id: r.component for r in line_dedup.line_groups(df, places).collect()}
+    assert sum(group[6 + k] == group[12 + k] for k in range(6)) >= 5
+
+
 def test_revisits(spark):
     h = "map<string,string>"
     rows = [
