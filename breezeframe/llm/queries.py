@@ -99,7 +99,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: lines, lines cut, and length and hash of the text that stays."""
-    left = line_dedup.without_repeats(_table(spark, sf_dir, "documents"))
+    left = line_dedup.without_repeats(_table(spark, sf_dir, "documents"), whole=True)
     return left.select(
         "doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.col("_n_cut").cast("long").alias("n_cut"),
         F.length("text").cast("long").alias("n_chars_left"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"),

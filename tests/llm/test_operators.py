@@ -312,6 +312,27 @@ def test_line_groups_equal_brute_force(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(df).collect()} == kept
 
 
+def test_whole_line_groups_equal_edit_similarity(spark):
+    rng = random.Random(17)
+    vocab = [f"u{k}" for k in range(500)]
+    lines = []
+    for k in range(24):
+        base = rng.choices(vocab[: (500, 8)[k % 2]], k=(4, 5, 9, 14, 30, 80)[k // 4])
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(len(base) // 4 + 2)):
+                at = rng.randrange(len(copy))
+                copy[at : at + rng.choice([0, 1, 1])] = rng.choice([[], [rng.choice(vocab)], [rng.choice(vocab)]])
+                copy = copy or ["u0"]
+            lines.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    words = {r.id: r.words for r in line_dedup._lines(df).collect()}
+    alike = lambda a, b: 5 * words_apart(words[a], words[b]) <= max(len(words[a]), len(words[b]))
+    want = closure(words, [(a, b) for a, b in itertools.combinations(words, 2) if alike(a, b)])
+    got = {r.id: r.component for r in line_dedup.line_groups(df, line_dedup.hashed_lines(df), whole=True).collect()}
+    assert got == want
+
+
 def test_simhash_counts_every_word_of_a_line(spark):
     rng = random.Random(13)
     bases = [[f"{rng.getrandbits(60):x}" for _ in range(n)] for n in (1, 7, 993, 994, 995, 2500)]
