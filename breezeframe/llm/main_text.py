@@ -3,9 +3,15 @@
 Parser events become lines: a block element ends a line. Elements that never hold an article (scripts, forms,
 navigation and the like), and elements whose class, id or role names such a part, are left out with all they
 contain. Every other line has a text-to-tag ratio, its characters over its tags; the ratios of a page are
-smoothed by a Gaussian over neighbouring lines, and two-means clustering of the smoothed values gives the
-threshold between content and the rest. Lines above it are seeds; a content region is the container of a
-seed (its ``article`` or ``main``, else the page), so short paragraphs between long ones stay.
+smoothed by a Gaussian over neighbouring lines, and two-means clustering of their logarithms gives the
+threshold between content and the rest. A page whose two means are within a factor of ``APART`` has one kind of lines,
+and all are content. A line is a seed when its smoothed ratio is above the threshold and its own above half of it.
+
+Containers (an ``article`` or ``main``, or the page around them) are compared by the characters of their seeds,
+which count ``PRIOR`` times in an ``article`` or ``main``; those with less than ``LEAST`` of the best are left out,
+the page like any other. Short lines between two seeds stay by their distance, counted in tags, as lines of a menu
+have several and lines of a verse one: at most ``JOIN``, or ``INSIDE`` in one ``article`` or ``main``. There, lines of
+one or two tags stay at any distance between seeds, and next to the first and last one.
 
 Character references are decoded, white space inside a line becomes one space, lines join by one space. Null
 and empty pages give an empty text. Broken markup is closed implicitly: a block start ends an open paragraph,
@@ -42,6 +48,9 @@ PART_NAMES = re.compile(
 )
 CLOSED_BY_BLOCK = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6".split())
 SIGMA = 1.0
+APART = 6.0
+PRIOR, LEAST = 2.0, 0.2
+JOIN, INSIDE = 8, 48
 
 
 class Lines(HTMLParser):
@@ -107,16 +116,45 @@ class Lines(HTMLParser):
 
 
 def content_threshold(ratios: np.ndarray) -> float:
-    """Two-means split of the smoothed ratios, started from their extremes."""
-    low, high = ratios.min(), ratios.max()
+    """Two-means split of the smoothed ratios' logarithms, started from their extremes; 0 when the means are near."""
+    logs = np.log(ratios)
+    low, high = logs.min(), logs.max()
     for _ in range(20):
         cut = (low + high) / 2
-        below, above = ratios[ratios < cut], ratios[ratios >= cut]
+        below, above = logs[logs < cut], logs[logs >= cut]
         new = (below.mean() if len(below) else low, above.mean())
         if new == (low, high):
             break
         low, high = new
-    return (low + high) / 2
+    return float(np.exp((low + high) / 2)) if high - low >= np.log(APART) else 0.0
+
+
+def content_lines(containers: np.ndarray, chars: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Which lines are content."""
+    own = chars / tags
+    smoothed = smooth(own)
+    cut = content_threshold(smoothed)
+    seeds = (smoothed >= cut) & (own >= cut / 2)
+    if not seeds.any():
+        seeds = smoothed >= smoothed.max()
+    value = np.bincount(containers, weights=np.where(seeds, chars, 0) * np.where(containers > 0, PRIOR, 1.0))
+    allowed = (value >= LEAST * value.max())[containers]
+    out = seeds & allowed
+    at = np.flatnonzero(out)
+    for a, b in zip(at, at[1:], strict=False):
+        together = containers[a] == containers[b] != 0
+        between = tags[a + 1 : b]
+        if between.sum() <= (INSIDE if together else JOIN) or (together and between.max() <= 2):
+            out[a:b] = allowed[a:b]
+    for container in np.unique(containers[at]):
+        inside = at[containers[at] == container]
+        if container:
+            for steps in (range(inside[0] - 1, -1, -1), range(inside[-1] + 1, len(out))):
+                for k in steps:
+                    if containers[k] != container or tags[k] > 2:
+                        break
+                    out[k] = True
+    return out
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -137,12 +175,8 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smooth(np.array([len(text) / tags for _, text, tags in lines]))
-    seeds = ratios >= content_threshold(ratios)
-    regions = {lines[k][0] for k in np.flatnonzero(seeds)}
-    if len(regions) > 1:
-        regions.discard(0)  # text outside every article
-    return " ".join(text for container, text, _ in lines if container in regions)
+    content = content_lines(*(np.array(x) for x in zip(*((c, len(text), tags) for c, text, tags in lines), strict=True)))
+    return " ".join(text for (_, text, _), stays in zip(lines, content, strict=True) if stays)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -180,6 +180,22 @@ def test_main_text():
     assert main_text.main_text("plain text") == "plain text"
 
 
+def test_main_text_selects_lines():
+    prose = [f"Paragraph {k} tells a long story in many words, " + "and goes on and on " * 8 + "until it ends." for k in range(6)]
+    short = "A short line."
+    body = "".join(f"<p>{x}</p>" for x in [*prose[:3], short, *prose[3:]])
+    menu = "".join(f"<div><a href='/{k}'>Item {k}</a></div>" for k in range(8))
+    want = " ".join([*prose[:3], short, *prose[3:]])
+    assert main_text.main_text(f"<body><div>{menu}</div><div>{body}</div><div>{menu}</div></body>") == want
+    cards = "".join(f"<article><a href='/{k}'>Card {k}</a><p>One teaser.</p></article>" for k in range(3))
+    assert main_text.main_text(f"<body><div>{body}</div>{cards}</body>") == want
+    longer = "".join(f"<article><p>{'A teaser of some length that has as many characters as a line. ' * 3}</p></article>" for _ in range(3))
+    assert prose[0] in main_text.main_text(f"<body><div>{body}</div>{longer}</body>")
+    listed = main_text.main_text(f"<body><article>{body}<div>{menu}</div></article></body>")
+    assert listed.startswith(want) and "Item 7" not in listed
+    assert main_text.main_text(f"<body><div>{menu}</div><article>{body}</article></body>") == want
+
+
 def test_main_text_keeps_whole_articles(spark, sf):
     rows = main_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     assert rows and all(r.n_chars == len(r.text) and "track(" not in r.text for r in rows)
