@@ -4,7 +4,10 @@ Each source's documents, in a hashed order, form an endless stream that is cut o
 into blocks of ``BLOCK`` words. Slot ``i`` of the schedule belongs to the source whose share of the cumulated
 targets holds the van der Corput point of ``i``; the ``k``-th slot of a source takes its ``k``-th block. Every
 stretch of the schedule therefore holds all sources near their weights, reruns agree, and no document is
-taken more than twice. As a source's slots take its blocks in order, they cover a prefix of its stream.
+taken more than twice. A source gives its target, rounded to words, so its last block is partial; points beyond
+its blocks stay void, and blocks beyond its points stand at even distances after the slots there, with ``turn`` not 0.
+As a source's slots take its blocks in order, they cover a prefix of its stream; ``scheduled`` joins the blocks'
+pieces of documents in the order of ``slot, turn``.
 
 Only DataFrame functions are used. Positions in a stream and ranks in the schedule are two-level prefix sums:
 a total per (source, bucket), then a window inside one bucket, so a source with a third of all rows is spread
@@ -75,38 +78,61 @@ def van_der_corput(i: Column) -> Column:
 
 
 def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``slot, number, block, words``: which block of which source each slot takes; void slots are left out."""
+    """``slot, turn, number, block, words``: which block of which source each slot takes; void slots are left out."""
     spark = targets.sparkSession
     total = targets.agg(F.sum("target")).first()[0] or 0.0
-    slots = spark.range(0, int(-(-total // block))).withColumnRenamed("id", "slot").withColumn("x", van_der_corput(F.col("slot")))
+    n_slots = int(-(-total // block))
+    slots = spark.range(0, n_slots).withColumnRenamed("id", "slot").withColumn("x", van_der_corput(F.col("slot")))
     slots = slots.withColumn("cell", F.floor(F.col("x") * GRID))
     last = F.least(F.floor(F.col("high") * GRID), F.lit(GRID - 1).cast("long"))
-    spans = targets.where("target > 0").select(
-        "number", "low", "high", "source_size", F.explode(F.sequence(F.floor(F.col("low") * GRID), last)).alias("cell")
-    )
+    needed = targets.withColumn("covered", covered_words()).where("covered > 0")
+    spans = needed.select("number", "low", "high", "covered", F.explode(F.sequence(F.floor(F.col("low") * GRID), last)).alias("cell"))
     owned = slots.join(spans, "cell").where("x >= low and x < high").withColumn("chunk", F.floor(F.col("slot") / CHUNK))
     counts = owned.groupBy("number", "chunk").agg(F.count("*").alias("c"))
     earlier = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    points = counts.groupBy("number").agg(F.sum("c").alias("points"))
     counts = counts.select("number", "chunk", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("base"))
     inner = F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot")) - 1
     ranked = owned.withColumn("inner", inner).join(counts, ["number", "chunk"])
-    ranked = ranked.select("slot", "number", (F.col("base") + F.col("inner")).alias("block"), "source_size")
-    words = F.least(F.lit(block).cast("long"), ROUNDS * F.col("source_size") - F.col("block") * block)
-    return ranked.withColumn("words", words).where("words > 0").drop("source_size")
+    ranked = ranked.select("slot", F.lit(0).cast("long").alias("turn"), "number", (F.col("base") + F.col("inner")).alias("block"), "covered")
+    blocks = F.ceil(F.col("covered") / block)
+    left = needed.join(points, "number", "left").fillna(0, ["points"]).withColumn("blocks", blocks).where("points < blocks")
+    left = left.select("number", "covered", "blocks", F.explode(F.sequence(F.col("points"), F.col("blocks") - 1)).alias("block"))
+    even = F.floor((F.col("block") + 0.5) / F.col("blocks") * n_slots)
+    ranked = ranked.unionByName(left.select(even.alias("slot"), F.col("number").cast("long").alias("turn"), "number", "block", "covered"))
+    words = F.least(F.lit(block).cast("long"), F.col("covered") - F.col("block") * block)
+    return ranked.withColumn("words", words).where("words > 0").drop("covered")
+
+
+def covered_words() -> Column:
+    """A source's target in whole words."""
+    return F.least(F.round("target").cast("long"), ROUNDS * F.col("source_size"))
 
 
 def mixture(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row, and the columns of ``carry`` as ``_name``.
+    """``doc_id, size, source_size, target, taken, slot, turn, block`` for every row, and the columns of ``carry`` as ``_name``.
 
-    ``taken_first`` and ``taken_again`` split ``taken`` by round; each is a prefix of the document's words.
+    ``taken_first`` and ``taken_again`` split ``taken`` by round; each is a prefix of the document's words. ``slot``
+    and ``turn`` hold the place in the schedule of ``block``, the source's block in which the document begins.
     """
+    rows, slots = _places(docs, block, carry)
+    begins = F.when(F.col("taken_first") > 0, F.floor(F.col("start") / block))
+    placed = rows.withColumn("block", begins).join(slots.drop("words"), ["number", "block"], "left")
+    return placed.select(
+        "doc_id", "size", "source_size", "target", (F.col("taken_first") + F.col("taken_again")).alias("taken"), "slot", "turn", "block",
+        "taken_first", "taken_again", *(f"_{c}" for c in carry),
+    )
+
+
+def _places(docs: DataFrame, block: int, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """The rows with ``number``, ``start`` in their source's stream and words taken, and the schedule."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"),
         *(F.col(f"`{c}`").alias(f"_{c}") for c in carry),
     )
     targets = materialise(source_targets(rows.select("source", "size")), "mix-targets")
-    covered = schedule(targets, block).groupBy("number").agg(F.sum("words").alias("covered"))
-    targets = materialise(targets.join(covered, "number", "left").fillna(0, ["covered"]), "mix-covered")
+    slots = materialise(schedule(targets, block), "mix-slots")
+    targets = targets.withColumn("covered", covered_words())
     n = targets.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-n // BUCKET))
 
@@ -122,16 +148,16 @@ def mixture(docs: DataFrame, block: int = BLOCK, carry: tuple[str, ...] = ()) ->
     start = F.col("base") + F.col("inner")
     clamp = lambda at: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("covered") - at))
     rows = rows.withColumns({"taken_first": clamp(start), "taken_again": clamp(start + F.col("source_size"))})
-    return rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("taken_first") + F.col("taken_again")).alias("taken"),
-        "taken_first", "taken_again", *(f"_{c}" for c in carry),
-    )
+    return rows.withColumn("start", start), slots
+
+
+def split_words(text: Column) -> Column:
+    return F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
 
 
 def first_words(text: Column, n: Column) -> Column:
     """The first ``n`` words of a text, joined by spaces."""
-    words = F.split(F.regexp_replace(text, r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    return F.array_join(F.slice(words, F.lit(1), n.cast("int")), " ")
+    return F.array_join(F.slice(split_words(text), F.lit(1), n.cast("int")), " ")
 
 
 def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -145,3 +171,34 @@ def mixed(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     if "n_chars" in docs.columns:
         cut = cut.withColumn("_n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
     return cut.select(*(F.col(f"_{c}").alias(c) for c in docs.columns))
+
+
+def scheduled(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The mix in its order: ``slot, turn, block, at`` and the columns of ``docs``, a row for each piece of a document in a block.
+
+    Sorted by ``slot, turn, at``, the texts are the mixed stream; ``at`` is the piece's place in its source's stream.
+    """
+    rows, slots = _places(docs, block, tuple(docs.columns))
+    rounds = F.explode(
+        F.array(
+            F.struct(F.col("start").alias("from"), F.col("taken_first").alias("words")),
+            F.struct((F.col("start") + F.col("source_size")).alias("from"), F.col("taken_again").alias("words")),
+        )
+    )
+    rows = rows.select("*", rounds.alias("r")).withColumns({"start": F.col("r.from"), "words": F.col("r.words")}).where("words > 0")
+    end = F.col("start") + F.col("words")
+
+    def pieces(words: Column) -> Column:  # the text is split once for all of its pieces
+        def piece(b: Column) -> Column:
+            at = F.greatest(F.col("start"), b * block)
+            n = F.least(end, (b + 1) * block) - at
+            return F.struct(b.alias("block"), at.alias("at"), F.array_join(F.slice(words, (at - F.col("start") + 1).cast("int"), n.cast("int")), " ").alias("text"))
+
+        return F.transform(F.sequence(F.floor(F.col("start") / block), F.floor((end - 1) / block)), piece)
+
+    cut = F.element_at(F.transform(F.array(split_words(F.col("_text"))), pieces), 1)
+    rows = rows.select("number", *(f"_{c}" for c in docs.columns if c != "text"), F.explode(cut).alias("p"))
+    rows = rows.select("*", "p.block", "p.at", F.col("p.text").alias("_text"))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("_n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
+    return rows.join(slots, ["number", "block"]).select("slot", "turn", "block", "at", *(F.col(f"_{c}").alias(c) for c in docs.columns))

@@ -151,6 +151,25 @@ def test_mixture(spark, docs, empty):
     assert mixed.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == got["taken"].sum()
 
 
+def test_small_sources_meet_their_targets_and_blocks_are_ordered(spark):
+    sizes = [1, 2, 30, 51, 102, 300, 7000, 9000]
+    rows = [(10 * k + j, " ".join(f"s{k}d{j}w{i}" for i in range(n // 2 if j else n - n // 2)), f"s{k}", "x", 1) for k, n in enumerate(sizes) for j in range(2)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = mixing.mixture(df).toPandas()
+    per = got.assign(source=got["doc_id"] // 10).groupby("source").agg({"taken": "sum", "target": "first"})
+    assert len(per) == len(sizes) and (abs(per["taken"] - per["target"]) <= 0.5).all() and (per["taken"] > 0).all()
+    out = mixing.scheduled(df).toPandas().sort_values(["slot", "turn", "at"])
+    words = out.assign(n=out["text"].str.split().str.len())
+    assert words["n"].sum() == per["taken"].sum()
+    blocks = words.groupby(["slot", "turn"]).agg({"n": "sum", "source": "nunique", "block": "nunique"})
+    assert (blocks["n"] <= mixing.BLOCK).all() and (blocks[["source", "block"]] == 1).all().all()
+    for k, g in words.groupby("source"):
+        stream = " ".join(g.sort_values("at")["text"]).split()
+        assert len(stream) == per.loc[int(k[1:]), "taken"] and max(stream.count(w) for w in set(stream[:50])) <= 2
+    starts = got[got["taken"] > 0]
+    assert starts["slot"].notna().all() and not words[["slot", "turn", "at"]].duplicated().any()
+
+
 def test_targets_stop_at_twice_their_source(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 0)], "source string, size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
