@@ -168,3 +168,22 @@ def _(spark, sf):
     d = I.daily(spark, sf).where("station = '1-URGENT'")
     # Without leap days the default value is reached as well.
     return spine.year_calendar(d.where(~((F.month("date") == 2) & (F.dayofmonth("date") == 29))))
+
+
+@check(
+    "j7_calendar_all_stations",
+    I.with_(I.DAILY)
+    + """, years AS (SELECT DISTINCT year(date) AS y FROM daily UNION SELECT 1900 UNION SELECT 2400),
+    days AS (SELECT CAST(unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 31), INTERVAL 1 DAY)) AS DATE) AS date FROM years),
+    actual AS (SELECT CAST(date AS DATE) AS date, avg(aqi) AS a FROM daily GROUP BY 1),
+    usual AS (SELECT month(date) AS m, day(date) AS d, avg(aqi) AS u FROM daily GROUP BY 1, 2)
+    SELECT days.date, CAST(dayofweek(days.date) AS INTEGER) AS day_of_week, CAST(month(days.date) - 1 AS INTEGER) AS month_index,
+      CAST(floor(least(greatest(coalesce(a, u, 150.0), 15.0), 500.0)) AS INTEGER) AS aqi,
+      CASE WHEN a IS NOT NULL THEN 'actual' WHEN u IS NOT NULL THEN 'climatology' ELSE 'default' END AS origin
+    FROM days LEFT JOIN actual ON actual.date = days.date LEFT JOIN usual ON m = month(days.date) AND d = day(days.date)""",
+)
+def _(spark, sf):
+    """The whole table; years without readings reach the climatology, and the default where no year has the day."""
+    d = I.daily(spark, sf)
+    years = d.select(F.year("date").alias("year")).union(spark.createDataFrame([(1900,), (2400,)], "year int"))
+    return spine.year_calendar(d, years.distinct())

@@ -121,3 +121,16 @@ def test_distance_weights(spark):
     w = {(r["target"], r["station"]): r["weight"] for r in spatial.station_weights(targets, anchors).collect()}
     assert w[("on", "b")] == 1.0 and w[("on", "a")] == 0.0
     assert w[("near", "a")] == pytest.approx(0.8)
+
+
+def test_calendar_query_reads_all_stations(spark, sf):
+    import __spark_entry__ as entry
+    from breezeframe.operators import spine
+    from checks import inputs
+
+    daily = inputs.daily(spark, sf)
+    got = entry.queries()["j7_calendar_all_stations"](spark, sf)
+    assert got.where("origin = 'actual'").count() == daily.where("aqi is not null").select("date").distinct().count()
+    one = daily.where("month(date) = 3 and dayofmonth(date) = 1")
+    part = {r.origin: r.n for r in spine.year_calendar(one, spark.createDataFrame([(2400,)], "year int")).groupBy("origin").agg({"*": "count"}).toDF("origin", "n").collect()}
+    assert part == {"climatology": 1, "default": 365}
