@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, main_text, mixing, packing, personal_data, revisits, sketch_dedup, toxicity, vector_dedup
+from . import (
+    exact_dedup, language, line_dedup, main_text, mixing, packing, personal_data, revisits, sketch_dedup, spelling, toxicity, vector_dedup, whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +108,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = language.predict(docs, language.fit(docs.where(~held)))
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 _OP1_SQL = r"""
 WITH c AS (
   SELECT page_id p, url, coalesce(html, '') html, md5(coalesce(html, '')) tag, 'day ' || (page_id // 1440) d FROM pages),
@@ -149,7 +167,7 @@ SELECT doc_id, keep_id, n AS group_size, doc_id = keep_id AS kept, t.sha AS text
 def queries() -> dict[str, Query]:
     ops = (
         op1_revisits, op2_sketch_near_dedup, op3_grace_exact_dedup, op4_best_fit_packing, op5_main_text, op6_personal_data, op7_source_mix,
-        op8_vector_near_dedup, op9_toxicity, op10_line_dedup,
+        op8_vector_near_dedup, op9_toxicity, op10_line_dedup, op11_whitening, op12_language, op13_spelling_variants,
     )
     return {f.__name__: f for f in ops}
 
