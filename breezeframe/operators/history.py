@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core.timeline import Frame, Timeline
@@ -167,6 +167,23 @@ def autocorrelation(
     )
 
 
+#: Up to this many rows a group the planner keeps a partial top-n in every task before the shuffle.
+GROUP_LIMIT = 1000
+
+
+def last_numbered(df: DataFrame, n: int, timeline: Timeline = Timeline(), back: str = "_back") -> DataFrame:
+    """The last ``n`` rows of every key, with ``back`` counting from 1 at the last.
+
+    Every task sends at most ``n`` rows of a key through the shuffle, so what meets in one task is bounded by tasks
+    times ``n``. Larger ``n`` take positions instead.
+    """
+    if n > GROUP_LIMIT:
+        numbered = timeline.number(df, "_pos", total="_n").withColumn(back, F.col("_n") - F.col("_pos"))
+        return numbered.where(F.col(back) <= n).drop("_pos", "_n")
+    latest = Window.partitionBy(*timeline.key).orderBy(*map(F.desc, (timeline.order, *timeline.tie)))
+    return df.withColumn(back, F.row_number().over(latest)).where(F.col(back) <= n)
+
+
 def trailing_summary(
     df: DataFrame,
     column: str = "aqi",
@@ -175,10 +192,9 @@ def trailing_summary(
     timeline: Timeline = Timeline(),
 ) -> DataFrame:
     """Mean of the last n rows per station and the list of the last ``last`` values."""
-    tail = timeline.number(df, "_pos", total="_n").withColumn("_back", F.col("_n") - F.col("_pos"))
-    tail = tail.where(F.col("_back") <= max(*windows, last))
+    tail = last_numbered(df, max(*windows, last), timeline)
     recent = F.array_sort(
-        F.collect_list(F.when(F.col("_back") <= last, F.struct("_pos", F.round(column, 1).alias("v"))))
+        F.collect_list(F.when(F.col("_back") <= last, F.struct((-F.col("_back")).alias("at"), F.round(column, 1).alias("v"))))
     )
     return tail.groupBy("station").agg(
         *[F.avg(F.when(F.col("_back") <= n, F.col(column))).alias(f"roll_{n}") for n in windows],
@@ -188,8 +204,7 @@ def trailing_summary(
 
 def last_rows(df: DataFrame, n: int, timeline: Timeline = Timeline()) -> DataFrame:
     """The last ``n`` rows of every station."""
-    numbered = timeline.number(df, "_pos", total="_n")
-    return numbered.where(F.col("_pos") >= F.col("_n") - n).drop("_pos", "_n")
+    return last_numbered(df, n, timeline).drop("_back")
 
 
 def scaler(train: DataFrame, columns: Sequence[str]) -> Column:

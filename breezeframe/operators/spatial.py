@@ -4,53 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core.shared import materialise
 
 
-def anchor_list(anchors: DataFrame) -> Column:
-    """The anchor table as one scalar array: a row of stations, not of readings, travels with every target."""
-    return anchors.agg(F.array_sort(F.collect_list(F.struct("station", "lat", "lon"))).alias("a")).scalar()
+#: Anchors of a block; every target meets every block once, so no task needs all anchors.
+BLOCK = 256
 
 
-def station_weights(targets: DataFrame, anchors: DataFrame, target: str = "target") -> DataFrame:
-    """Normalised 1/d^2 weights per target and anchor; a target on an anchor takes it alone."""
-    distances = F.transform(
-        F.col("_anchors"),
-        lambda a: F.struct(
-            a["station"].alias("station"),
-            (
-                (F.col("lat") - a["lat"]) * (F.col("lat") - a["lat"])
-                + (F.col("lon") - a["lon"]) * (F.col("lon") - a["lon"])
-            ).alias("d2"),
-        ),
-    )
-    on_anchor = F.exists("_d", lambda a: a["d2"] == 0.0)
-    raw = F.transform(
-        "_d",
-        lambda a: F.struct(
-            a["station"].alias("station"),
-            F.when(F.col("_on"), (a["d2"] == 0.0).cast("double")).otherwise(1.0 / a["d2"]).alias("w"),
-        ),
-    )
-    total = F.aggregate("_w", F.lit(0.0), lambda acc, a: acc + a["w"])
-    return (
-        targets.withColumn("_anchors", anchor_list(anchors))
-        .withColumn("_d", distances)
-        .withColumn("_on", on_anchor)
-        .withColumn("_w", raw)
-        .withColumn("_t", total)
-        # The outer variant keeps the optimizer from evaluating the whole chain once more as a filter.
-        .select(target, "_t", F.explode_outer("_w").alias("_e"))
-        .where(F.col("_e").isNotNull())
-        .select(
-            target,
-            F.col("_e.station").alias("station"),
-            (F.col("_e.w") / F.col("_t")).alias("weight"),
-        )
-    )
+def station_weights(targets: DataFrame, anchors: DataFrame, target: str = "target", block: int = BLOCK) -> DataFrame:
+    """Normalised 1/d^2 weights per target and anchor; a target on an anchor takes it alone.
+
+    Anchors are dealt by hash to numbered blocks, targets are copied to all block numbers, and the two meet by
+    block. The sums of 1/d^2 and the exact hits of a target are added from its pairs and joined back.
+    """
+    blocks = -(-anchors.count() // block) or 1
+    dealt = anchors.select(F.col("station").alias("_station"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_station", "_lat", "_lon"), F.lit(blocks)))
+    asking = targets.select(target, "lat", "lon").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    d2 = (F.col("lat") - F.col("_lat")) * (F.col("lat") - F.col("_lat")) + (F.col("lon") - F.col("_lon")) * (F.col("lon") - F.col("_lon"))
+    pairs = asking.join(dealt, "_block").select(target, "lat", "lon", F.col("_station").alias("station"), d2.alias("_d2"))
+    pairs = materialise(pairs, "anchor-pairs")
+    away = F.when(F.col("_d2") > 0.0, 1.0 / F.nullif("_d2", F.lit(0.0)))
+    place = [target, "lat", "lon"]
+    sums = pairs.groupBy(*place).agg(F.count_if(F.col("_d2") == 0.0).alias("_hits"), F.sum(away).alias("_sum"))
+    sums = materialise(sums, "anchor-sums")
+    both = pairs.join(sums, place)
+    hit = (F.col("_d2") == 0.0).cast("double") / F.nullif("_hits", F.lit(0))
+    weight = F.when(F.col("_hits") > 0, hit).otherwise(away / F.col("_sum"))
+    return both.select(target, "station", weight.alias("weight"))
 
 
 def blend(

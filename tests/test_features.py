@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from breezeframe.functions import air
 from breezeframe.operators import asof, history, spatial
 from breezeframe.plans import features
 
-from .frames import DAILY, IRREGULAR, daily_series, irregular, to_spark
+from .frames import DAILY, IRREGULAR, START, daily_series, irregular, to_spark
 
 TL = Timeline(rows=25)
 
@@ -134,3 +136,30 @@ def test_calendar_query_reads_all_stations(spark, sf):
     one = daily.where("month(date) = 3 and dayofmonth(date) = 1")
     part = {r.origin: r.n for r in spine.year_calendar(one, spark.createDataFrame([(2400,)], "year int")).groupBy("origin").agg({"*": "count"}).toDF("origin", "n").collect()}
     assert part == {"climatology": 1, "default": 365}
+
+
+def test_distance_weights_in_blocks_equal_all_pairs(spark):
+    """Many blocks of few anchors, two anchors at one place, a target on them, targets listed twice."""
+    import random
+
+    rng = random.Random(3)
+    places = [(f"a{k}", rng.uniform(0, 9), rng.uniform(0, 9)) for k in range(60)] + [("twin", 1.0, 2.0), ("twin2", 1.0, 2.0)]
+    wanted = [(f"t{k}", rng.uniform(0, 9), rng.uniform(0, 9)) for k in range(9)] + [("on", 1.0, 2.0)]
+    anchors = spark.createDataFrame(places, "station string, lat double, lon double")
+    targets = spark.createDataFrame([*wanted, wanted[0]], "target string, lat double, lon double")
+    got = {(r["target"], r["station"]): r["weight"] for r in spatial.station_weights(targets, anchors, block=7).collect()}
+    for t, lat, lon in wanted:
+        d2 = {s: (lat - a) ** 2 + (lon - b) ** 2 for s, a, b in places}
+        raw = {s: float(v == 0) if 0.0 in d2.values() else 1 / v for s, v in d2.items()}
+        assert all(abs(got[t, s] - w / sum(raw.values())) < 1e-12 for s, w in raw.items())
+    assert len(got) == len(wanted) * len(places)
+    assert spatial.station_weights(targets, anchors.limit(0)).count() == 0
+
+
+def test_last_rows_by_either_way(spark):
+    df = spark.createDataFrame([(f"s{k % 3}", START + dt.timedelta(hours=k), float(k)) for k in range(300)], "station string, date timestamp_ntz, x double")
+    few, many = (history.last_numbered(df, 5, TL), history.last_numbered(df, history.GROUP_LIMIT + 1, TL))
+    assert sorted(r["x"] for r in few.collect()) == [float(k) for k in range(285, 300)]
+    assert many.count() == 300 and {(r["x"], r["_back"]) for r in many.where("_back <= 5").collect()} == {(r["x"], r["_back"]) for r in few.collect()}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 1

@@ -79,3 +79,60 @@ def test_readings_are_shuffled_once(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "BroadcastHashJoin" in plan
+
+
+def test_only_the_dense_stretch_is_refined(spark):
+    """A dense station is counted by finer units, the others keep their coarse buckets; no table grows with the readings."""
+    dense = [("hot", START + dt.timedelta(milliseconds=37 * i), float(i), 1.0) for i in range(30_000)]
+    sparse = [(f"s{k}", START + dt.timedelta(days=5 * i), float(i), 1.0) for k in range(4) for i in range(60)]
+    df = spark.createDataFrame(dense + sparse, IRREGULAR)
+    tl = Timeline(rows=300)
+    leaves = tl.leaves(df, ["x"])
+    sizes = leaves.table.groupBy("station").agg(F.count("*").alias("n"), F.max("_n").alias("largest"), F.max("_depth").alias("depth")).collect()
+    by = {r["station"]: r for r in sizes}
+    assert all(by[f"s{k}"]["n"] == 60 and by[f"s{k}"]["depth"] == 0 for k in range(4))
+    assert by["hot"]["largest"] <= 300 and by["hot"]["n"] < 1_200
+    got = tl.select(df, lambda f: {"pos": f.position(), "l": F.lag("x", 5).over(f.ordered), "a": F.lead("x", 3).over(f.ordered)}, before=5, after=3)
+    assert got.count() == df.count()
+    assert got.where("pos <> x").count() == 0
+    assert got.where("l <> x - 5 OR (l IS NULL) <> (x < 5)").count() == 0
+    assert got.where("a <> x + 3").count() == 0 and got.where("a IS NULL").count() == 3 * 5
+
+
+def test_an_over_full_moment_is_split(spark):
+    """More rows at one moment than a segment holds: cut by hash, in one consistent order; equal rows warn."""
+    rows = [("a", START, float(i), 1.0) for i in range(2_000)] + [("a", START + dt.timedelta(hours=k), None, 2.0) for k in (-1, 1)]
+    df = spark.createDataFrame(rows, IRREGULAR)
+    tl = Timeline(rows=50)
+    got = tl.select(df, lambda f: {"pos": f.position(), "l": F.lag("x").over(f.ordered), "prev": f.last_known("y", strict=True)}, before=1, carry=["y"])
+    assert sorted(r["pos"] for r in got.select("pos").collect()) == list(range(2_002))
+    assert got.where("l IS NOT NULL").select("l").distinct().count() == 2_000
+    assert tl.leaves(df).table.agg(F.max("_n")).first()[0] <= 50
+    with pytest.warns(UserWarning, match="deduplicate"):
+        assert Timeline(rows=5).number(spark.createDataFrame([("a", START, 1.0, 1.0)] * 40, IRREGULAR)).count() == 40
+
+
+def test_sparse_numbers_make_few_buckets(spark):
+    """An irregular axis: random 62-bit arrivals, a dense run, doubles and negative numbers."""
+    ids = spark.range(20_000).select(F.lit("a").alias("station"), F.abs(F.xxhash64("id")).alias("n"), F.lit(1.0).alias("x"))
+    run = spark.range(5_000).select(F.lit("b").alias("station"), (F.col("id") - 2_500).alias("n"), F.lit(1.0).alias("x"))
+    df = ids.unionByName(run)
+    w = W.partitionBy("station").orderBy("n")
+    for kind in ("bigint", "double"):
+        typed = df.withColumn("n", F.col("n").cast(kind))
+        tl = Timeline(order="n", rows=1_000)
+        assert tl.leaves(typed).table.count() < 2_500
+        got = tl.select(typed, lambda f: {"p": F.lag("n").over(f.ordered), "pos": f.position()}, before=1)
+        want = typed.select("*", F.lag("n").over(w).alias("p"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"))
+        assert got.select(want.columns).exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_values_at_positions(spark):
+    df = to_spark(spark, irregular(), IRREGULAR)
+    got = Timeline(rows=15).at_positions(df, lambda n: {"first": n * 0, "middle": F.floor(n / 2), "last": n - 1, "none": n}).collect()
+    dates = {}
+    for r in df.select("station", "date").collect():
+        dates.setdefault(r["station"], []).append(r["date"])
+    for r in got:
+        own = sorted(dates[r["station"]])
+        assert (r["_total"], r["first"], r["middle"], r["last"], r["none"]) == (len(own), own[0], own[len(own) // 2], own[-1], None)
