@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -15,7 +15,7 @@ from ..functions import calendar as cal
 from ..functions.interactions import interactions
 from ..functions.numeric import clamp, flag
 from ..functions.weather import diurnal
-from ..operators import asof, grid
+from ..operators import asof, grid, spatial
 from ..operators.history import EPISODE_AQI
 from ..operators.requests import DELTA_FLOORS, DELTA_RANGE, month_terms
 from ..core.shared import cut_lineage
@@ -89,6 +89,7 @@ def forecast_hours(
     timeline: Timeline = Timeline(),
     columns: Sequence[str] | None = None,
     extra: Sequence[str] = (),
+    anchors: DataFrame | None = None,
 ) -> DataFrame:
     """Hourly predictions 0..72 per request.
 
@@ -96,6 +97,12 @@ def forecast_hours(
     ``o_<name>``. Look-backs reach whole days back, so hour h depends on hours h-24, h-48 and h-72
     only: one row per (request, hour of day) carries its own earlier predictions and four model passes
     over the same rows replace 72 dependent steps, without joins or lineage cuts between them.
+
+    With ``anchors`` (``station, lat, lon``) and request columns ``lat`` and ``lon``, a request at a station without readings is
+    answered for its place: every reading it looks up is the inverse-distance blend of the anchors' nearest readings.
+
+    Every request row is answered on its own, whatever its ``request`` says. Requests without a moment, and
+    those at stations without readings and without a place, stay with null predictions.
     """
     cols = list(columns or [c for c in MEASURED if c in readings.columns])
     dense = half_days(readings, cols, timeline)
@@ -104,24 +111,21 @@ def forecast_hours(
     )
     span = materialise(span.where(F.col("station").isNotNull()), "forecast-span")
     overrides = [c for c in cols if f"o_{c}" in requests.columns]
-    hours = requests.select(
-        "request",
-        "station",
-        "at",
-        *extra,
-        *[f"o_{c}" for c in overrides],
-        F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))).alias("hour"),
-    )
-    when = F.col("at") + F.make_dt_interval(hours=F.col("hour"))
-    slot = _slot(when)
-    rows = _covered(hours.withColumn("_when", when).withColumns(slot), span)
-    # Overrides are relative to the reading nearest to the request itself.
-    anchor = requests.select("request", "station", F.col("at").alias("_at")).withColumns(_slot(F.col("_at")))
-    anchor = _covered(anchor, span)
-    deltas = anchor.join(dense, ["station", "day", "half"]).select(
-        "request", F.get("days", F.lit(BLOCKS - 1)).alias("_base")
-    )
-    rows = rows.join(dense, ["station", "day", "half"]).join(deltas, "request")
+    by_place = anchors is not None and {"lat", "lon"} <= set(requests.columns)
+    place = F.concat_ws(" ", F.col("lat").cast("string"), F.col("lon").cast("string")) if by_place else F.lit(None).cast("string")
+    held = list(dict.fromkeys(["request", "station", "at", *extra, *(f"o_{c}" for c in overrides), *(("lat", "lon") if by_place else ())]))
+    asked = requests.select(*held, F.monotonically_increasing_id().alias("_id"), place.alias("_place"))
+    asked = materialise(asked, "forecast-requests")
+    timed = asked.where(F.col("at").isNotNull())
+    known = timed.join(span.select("station"), "station", "left_semi")
+    rows = _arrays(known, lambda moments: _covered(moments, span).join(dense, ["station", "day", "half"]).drop("day", "half"))
+    answered_ids = known.select("_id")
+    if by_place:
+        free = timed.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).join(span.select("station"), "station", "left_anti")
+        used = anchors.join(span.select("station"), "station", "left_semi")
+        blended = _blended(free, used, dense, span, cols)
+        rows = rows.unionByName(_arrays(free, lambda moments: moments.join(blended, ["_place", "day", "half"]).drop("day", "half")))
+        answered_ids = answered_ids.unionByName(free.select("_id")) if not used.isEmpty() else answered_ids
     for b in range(BLOCKS):
         rows = _predict_block(rows, b, cols, overrides, model)
     kept = rows.select(
@@ -137,8 +141,7 @@ def forecast_hours(
         .where(F.col("hours") <= LAST_HOUR)
         .drop("hour", "_b")
     )
-    # A station without readings has no nearest one: its requests stay, without predictions.
-    unknown = requests.join(span, "station", "left_anti").select(
+    unknown = asked.join(answered_ids, "_id", "left_anti").select(
         "request",
         "station",
         "at",
@@ -149,6 +152,39 @@ def forecast_hours(
     return answered.unionByName(unknown)
 
 
+def _arrays(asked: DataFrame, looked_up: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A row for each request and hour of day with the arrays of its moment, and the readings nearest to the request itself.
+
+    Overrides are relative to those; ``looked_up`` adds ``days`` to moments with ``day`` and ``half``.
+    """
+    hours = asked.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(HOURS - 1))))
+    hours = hours.withColumn("_when", F.col("at") + F.make_dt_interval(hours=F.col("hour"))).withColumns(_slot(F.col("_when")))
+    own = asked.select("_id", "station", "_place", "at").withColumns(_slot(F.col("at")))
+    base = looked_up(own).select("_id", F.get("days", F.lit(BLOCKS - 1)).alias("_base"))
+    return looked_up(hours).join(base, "_id").drop("_id", "_place", "lat", "lon")
+
+
+def _blended(free: DataFrame, anchors: DataFrame, dense: DataFrame, span: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``_place, day, half, days`` of the half days that requests at places look up: their anchors' arrays, blended by distance."""
+    weights = spatial.station_weights(free.select("_place", "lat", "lon").distinct(), anchors, "_place")
+    weights = materialise(weights.where("weight > 0"), "forecast-weights")
+    when = F.explode(F.sequence(F.lit(0), F.lit(HOURS), F.lit(HOURS // 2)))
+    moments = free.select("_place", "at", when.alias("_h"))  # hours 0, 12 and 24 reach every half day of the requests' hours
+    moments = moments.select("_place", (F.col("at") + F.make_dt_interval(hours=F.col("_h"))).alias("_when")).withColumns(_slot(F.col("_when")))
+    needed = moments.select("_place", "day", "half").distinct()
+    met = needed.join(weights, "_place").withColumn("_asked", F.col("day"))
+    met = _covered(met, span).join(dense, ["station", "day", "half"])
+    each = met.select("_place", F.col("_asked").alias("day"), "half", "weight", F.posexplode("days").alias("_k", "_v"))
+
+    def mean(c: str) -> Column:
+        known = F.col(f"_v.{c}").isNotNull()
+        return F.sum(F.col("weight") * F.col(f"_v.{c}")) / F.sum(F.when(known, F.col("weight")))
+
+    days = each.groupBy("_place", "day", "half", "_k").agg(F.struct(*[mean(c).alias(c) for c in cols]).alias("_v"))
+    whole = days.groupBy("_place", "day", "half").agg(F.array_sort(F.collect_list(F.struct("_k", "_v"))).alias("_all"))
+    return whole.select("_place", "day", "half", F.transform("_all", lambda e: e["_v"]).alias("days"))
+
+
 def _covered(rows: DataFrame, span: DataFrame) -> DataFrame:
     """Move ``day`` to the nearest day that has arrays; beyond it only the first or last reading is nearest."""
     first = F.date_sub("_from", HISTORY_DAYS)
@@ -256,6 +292,7 @@ def _slope(values: str, n: int) -> Column:
 def read_out(hourly: DataFrame, horizons: Sequence[int] = air.HORIZONS) -> DataFrame:
     """Bands, labels and advice at the reported horizons."""
     at = hourly.where(F.col("hours").isin(*horizons))
+    timeless = F.col("at").isNull() if "at" in hourly.columns else F.lit(False)
     lower, upper = air.band(F.col("prediction"), F.col("hours"))
     return at.select(
         "request",
@@ -266,7 +303,7 @@ def read_out(hourly: DataFrame, horizons: Sequence[int] = air.HORIZONS) -> DataF
         F.round(lower, 2).alias("lower"),
         F.round(upper, 2).alias("upper"),
         air.advisory(F.col("prediction")).alias("advisory"),
-        F.when(F.col("prediction").isNull(), "no readings at this station").alias("reason"),
+        F.when(timeless, "no moment given").when(F.col("prediction").isNull(), "no readings at this station").alias("reason"),
     )
 
 

@@ -7,19 +7,22 @@ from dataclasses import dataclass
 from math import gcd, sqrt
 from random import Random
 
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
+    GBTRegressionModel,
     GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core.shared import cut_lineage, materialise
 from ..operators.dedupe import concat_frames
 from ..operators.scores import overfit_gap, rank_models, regression_scores
 
@@ -43,8 +46,9 @@ HISTOGRAM = {
     "maxDepth": 6,
     "minInstancesPerNode": 20,
     "maxBins": 255,
-    "validationTol": 1e-4,
 }
+PATIENCE, HELD_SHARE = 30, 10
+PERSISTENCE_LAGS = (1, 7)
 SEED = 42
 PERMUTATIONS = 30
 LABEL = "aqi"
@@ -150,20 +154,77 @@ def boosting_model(train: DataFrame, features: Sequence[str], label: str = LABEL
     return _trees(features, reg).fit(train)
 
 
-def histogram_model(train: DataFrame, features: Sequence[str], label: str = LABEL, **over) -> PipelineModel:
-    """Boosting that stops early on a tenth of the rows, chosen by key so that reruns agree.
+@dataclass(frozen=True)
+class StoppedBoosting:
+    """An ensemble cut at its best round: ``curve[k]`` is the held-out mean squared error of the first ``k + 1`` trees."""
+
+    model: PipelineModel
+    rounds: int
+    curve: list[float]
+
+
+def held_out(key: Sequence[str] = ("station", "date"), share: int = HELD_SHARE) -> Column:
+    """Marks one row in ``share`` by its key, so that reruns agree."""
+    return F.pmod(F.xxhash64(*key), F.lit(share)) == 0
+
+
+def best_round(curve: Sequence[float], patience: int) -> tuple[int, bool]:
+    """Number of trees before ``patience`` rounds without a lower error, and whether that many followed."""
+    best = 0
+    for k, error in enumerate(curve):
+        if error < curve[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
 
-    Spark ML has no L2 leaf penalty, so leaf values are slightly larger than with one.
+def first_trees(model: GBTRegressionModel, count: int) -> GBTRegressionModel:
+    """The ensemble of the first ``count`` trees."""
+    jvm, gateway = model._java_obj, SparkContext._active_spark_context._gateway
+    trees = gateway.new_array(gateway.jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, count)
+    weights = gateway.new_array(gateway.jvm.double, count)
+    for k in range(count):
+        trees[k], weights[k] = jvm.trees()[k], jvm.treeWeights()[k]
+    cut = gateway.jvm.org.apache.spark.ml.regression.GBTRegressionModel(jvm.uid(), trees, weights, jvm.numFeatures())
+    return model._copyValues(GBTRegressionModel(jvm.copyValues(cut, jvm.extractParamMap())))
+
+
+def stopped_boosting(
+    train: DataFrame,
+    features: Sequence[str],
+    label: str = LABEL,
+    patience: int = PATIENCE,
+    first: int = 64,
+    key: Sequence[str] = ("station", "date"),
+    **over,
+) -> StoppedBoosting:
+    """Boosting that stops after ``patience`` rounds without gain on a tenth of the rows and keeps the best round's trees.
+
+    A round depends on the rounds before it only, so a fit of ``first`` rounds is the beginning of a longer one: the
+    number of rounds is doubled until the curve has turned, up to ``maxIter``. Every prefix is scored in one pass.
+
+    Spark ML has no L2 leaf penalty. With a penalty of 1 and at least 20 rows in a leaf every leaf's step would be
+    smaller by at most one part in 21; the held-out curve then turns later by about that share.
     """
-    held_out = train.withColumn("_held", F.pmod(F.xxhash64("station", "date"), F.lit(10)) == 0)
-    reg = GBTRegressor(
-        featuresCol="raw_features",
-        labelCol=label,
-        seed=SEED,
-        validationIndicatorCol="_held",
-        **{**HISTOGRAM, **over},
-    )
-    return _trees(features, reg).fit(held_out)
+    settings = {**HISTOGRAM, **over}
+    most = settings.pop("maxIter")
+    marked = _assembler(features).transform(train.withColumn("_held", held_out(key)))
+    learn, held = (cut_lineage(marked.where(c).select("raw_features", F.col(label).cast("double").alias(label))) for c in ("not _held", "_held"))
+    rounds = min(first, most)
+    while True:
+        reg = GBTRegressor(featuresCol="raw_features", labelCol=label, seed=SEED, maxIter=rounds, **settings)
+        model = reg.fit(learn)
+        curve = model.evaluateEachIteration(held, "squared")
+        count, turned = best_round(curve, patience)
+        if turned or rounds == most:
+            return StoppedBoosting(PipelineModel([_assembler(features), first_trees(model, count)]), count, curve)
+        rounds = min(2 * rounds, most)
+
+
+def histogram_model(train: DataFrame, features: Sequence[str], label: str = LABEL, **over) -> PipelineModel:
+    """The model of ``stopped_boosting``."""
+    return stopped_boosting(train, features, label, **over).model
 
 
 def rmse_of(model: PipelineModel, df: DataFrame, label: str = LABEL) -> float:
@@ -200,6 +261,15 @@ def score(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
     return concat_frames(parts)
 
 
+def persistence(df: DataFrame, lags: Sequence[int] = PERSISTENCE_LAGS) -> DataFrame:
+    """The reading of some rows ago as a prediction, in the form of ``score``."""
+    parts = [
+        df.select(F.lit(f"persistence_{k}").alias("model"), "split", "station", "date", LABEL, F.col(f"lag_{LABEL}_{k}").cast("double").alias("prediction"))
+        for k in lags
+    ]
+    return concat_frames(parts)
+
+
 def evaluate(predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ranked scores per model, split and station, and the overfit gap per model."""
     scores = regression_scores(predictions)
@@ -230,68 +300,72 @@ def permutation_importance(
     """Mean and deviation of the R2 lost when one feature is exchanged between rows.
 
     Rows are numbered in hash order, which is a random order that any executor can recompute. Each
-    (feature, repeat) then uses its own bijection ``position -> (a * position + b) mod n``, so a
-    permutation is one equality join instead of a global sort per repeat.
+    repeat uses its own bijection ``position -> (a * position + b) mod n`` for all features: a row meets one donor
+    a repeat in an equality join, and its features are exchanged one at a time inside the task.
     """
     rows = complete_rows(df, features, label).select("station", "date", *features, label)
     base = _hash_numbered(rows, seed).withColumn("_x", F.array(*[F.col(f).cast("double") for f in features]))
     numbered = base.select("_pos", "_x", F.col(label).alias("_y"))
     totals = numbered.agg(F.count(F.lit(1)).alias("n"), F.var_pop("_y").alias("v")).first()
-    n, sst = totals["n"], totals["n"] * totals["v"]
+    n, sst = totals["n"], (totals["n"] * totals["v"] if totals["n"] else 0.0)
     rng = Random(seed)
     plans = []
-    for j in range(len(features)):
-        for r in range(repeats):
+    for r in range(repeats):
+        a = rng.randrange(1, max(2, n))
+        while gcd(a, n) != 1 and n:
             a = rng.randrange(1, max(2, n))
-            while gcd(a, n) != 1:
-                a = rng.randrange(1, max(2, n))
-            plans.append((j, r, a, rng.randrange(n)))
-    shuffles = df.sparkSession.createDataFrame(plans, "j int, r int, a bigint, b bigint")
-    packed = shuffles.agg(F.collect_list(F.struct("j", "r", "a", "b")).alias("p")).scalar()
-    wanted = (
-        numbered.withColumn("_p", F.explode(packed))
-        .select(
-            F.col("_p.j").alias("j"),
-            F.col("_p.r").alias("r"),
-            "_x",
-            "_y",
-            # Products stay below 2^63 as decimals, whatever the row count.
-            F.expr(
-                "CAST((CAST(_p.a AS DECIMAL(19,0)) * CAST(_pos AS DECIMAL(19,0)) + _p.b)"
-                f" % CAST({n} AS DECIMAL(19,0)) AS BIGINT)"
-            ).alias("_partner"),
-        )
+        plans.append(F.struct(F.lit(r).alias("r"), F.lit(a).cast("bigint").alias("a"), F.lit(rng.randrange(max(1, n))).cast("bigint").alias("b")))
+    wanted = numbered.withColumn("_p", F.explode(F.array(*plans))).select(
+        F.col("_p.r").alias("r"),
+        "_x",
+        "_y",
+        # Products stay below 2^63 as decimals, whatever the row count.
+        F.expr(
+            "CAST((CAST(_p.a AS DECIMAL(19,0)) * CAST(_pos AS DECIMAL(19,0)) + _p.b)"
+            f" % CAST({max(1, n)} AS DECIMAL(19,0)) AS BIGINT)"
+        ).alias("_partner"),
     )
     donors = numbered.select(F.col("_pos").alias("_partner"), F.col("_x").alias("_other"))
-    swapped = F.transform(
-        "_x", lambda v, i: F.when(i == F.col("j"), F.get("_other", F.col("j"))).otherwise(v)
-    )
-    permuted = wanted.join(donors, "_partner").withColumn("raw_features", array_to_vector(swapped))
-    lost = _transform_features(model, permuted).groupBy("j", "r").agg(
-        F.sum((F.col("_y") - F.col("prediction")) * (F.col("_y") - F.col("prediction"))).alias("sse")
-    )
-    plain = _transform_features(model, numbered.withColumn("raw_features", array_to_vector("_x")))
-    base_sse = plain.agg(
-        F.sum((F.col("_y") - F.col("prediction")) * (F.col("_y") - F.col("prediction"))).alias("s")
-    ).scalar()
+    met = wanted.join(donors, "_partner").withColumn("j", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    swapped = F.transform("_x", lambda v, i: F.when(i == F.col("j"), F.get("_other", F.col("j"))).otherwise(v))
+    permuted = met.select("j", "r", "_y", array_to_vector(swapped).alias("raw_features"))
+    error = (F.col("_y") - F.col("prediction")) * (F.col("_y") - F.col("prediction"))
+    # Feature -1 is the row as it is; its error is the same in every repeat.
+    lost = materialise(_transform_features(model, permuted).groupBy("j", "r").agg(F.sum(error).alias("sse")), "permuted-errors")
+    plain = lost.where("j = -1").select("r", F.col("sse").alias("_base"))
     names = F.array(*[F.lit(f) for f in features])
-    drops = lost.select(
-        F.get(names, F.col("j")).alias("feature"), ((F.col("sse") - base_sse) / F.lit(sst)).alias("drop")
+    drops = lost.where("j >= 0").join(plain, "r").select(
+        F.get(names, F.col("j")).alias("feature"), ((F.col("sse") - F.col("_base")) / F.nullif(F.lit(sst), F.lit(0.0))).alias("drop")
     )
     return drops.groupBy("feature").agg(
         F.avg("drop").alias("importance_mean"), F.stddev_pop("drop").alias("importance_std")
     )
 
 
-def _hash_numbered(rows: DataFrame, seed: int) -> DataFrame:
-    """Positions 0..n-1 in hash order: numbered inside hash buckets, offset by the buckets before."""
+#: Rows of a bucket of the hash order, on average.
+BUCKET_ROWS = 20_000
+
+
+def _hash_numbered(rows: DataFrame, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Positions 0..n-1 in hash order: numbered inside hash buckets, offset by the buckets before.
+
+    The number of buckets follows the row count, and their offsets are summed in two levels of about its square root.
+    """
     hashed = rows.withColumn("_h", F.xxhash64("station", "date", F.lit(seed)))
-    bucketed = hashed.withColumn("_b", F.shiftrightunsigned("_h", 52))
-    sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    # 4096 buckets by construction: the running total is over a table of fixed size.
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_b").orderBy("_h", "station", "date")
+    side = 1
+    n = rows.count()
+    while side * side * bucket_rows < n:
+        side *= 2
+    bits = 2 * (side.bit_length() - 1)
+    bucketed = hashed.withColumn("_b", F.shiftrightunsigned(F.shiftrightunsigned("_h", 1), 63 - bits))
+    sizes = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_c")).withColumn("_g", F.shiftright("_b", bits // 2))
+    groups = sizes.groupBy("_g").agg(F.sum("_c").alias("_c"))
+    before = lambda by, *part: Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    # One row for each of `side` groups of buckets.
+    groups = groups.select("_g", F.coalesce(F.sum("_c").over(before("_g", F.lit(0))), F.lit(0)).alias("_o"))
+    offsets = sizes.join(groups, "_g").select("_b", (F.col("_o") + F.coalesce(F.sum("_c").over(before("_b", "_g")), F.lit(0))).alias("_o"))
+    offsets = materialise(offsets, "hash-offsets")
+    inside = Window.partitionBy("_b").orderBy(F.col("_h") < 0, "_h", "station", "date")  # as unsigned numbers, like the buckets
     placed = bucketed.withColumn("_i", F.row_number().over(inside)).join(offsets, "_b")
     return placed.withColumn("_pos", F.col("_o") + F.col("_i") - 1).drop("_h", "_b", "_i", "_o")
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from breezeframe.functions.calendar import season
-from breezeframe.operators import attribution
+from breezeframe.functions.air import HORIZONS
+from breezeframe.operators import attribution, history
 from breezeframe.plans import explain, scenario, training
 
 from . import inputs as I
+from .joining import ANCHORS_SQL, anchors
 from .modelling import FEATURES, model_rows
 from .registry import check
 
@@ -220,6 +222,48 @@ def _(spark, sf):
     return scenario.read_out(scenario.forecast_hours(requests, d, model, I.timeline()))
 
 
+_PLACES = "places AS (SELECT * FROM (VALUES ('mid', 28.55::DOUBLE, 77.35::DOUBLE), ('edge', 28.7::DOUBLE, 77.2::DOUBLE)) t(place, lat, lon))"
+
+
+@check(
+    "m15_forecast_between_stations",
+    I.with_(I.DAILY, I.SPLIT, ANCHORS_SQL, _PLACES)
+    + """, l AS (SELECT *, lag(aqi) OVER (PARTITION BY station ORDER BY date) AS x FROM split),
+    m AS (SELECT regr_slope(aqi, x) AS a, regr_intercept(aqi, x) AS b FROM l WHERE split = 'train'),
+    w0 AS (SELECT place, station, 1 / ((p.lat - a.lat) ** 2 + (p.lon - a.lon) ** 2) AS w FROM places p, anchors a),
+    w AS (SELECT place, station, w / sum(w) OVER (PARTITION BY place) AS w FROM w0),
+    q AS (SELECT place, day, h, CAST(day AS TIMESTAMP) + to_hours(5 + h - 24) AS t
+      FROM (SELECT DISTINCT date AS day FROM daily), places, (SELECT unnest([0, 1, 3, 6, 12]) AS h)),
+    r AS (SELECT station, CAST(date AS TIMESTAMP) AS t, aqi FROM daily),
+    k AS (SELECT q.*, w.station, w.w FROM q JOIN w USING (place)),
+    f AS (SELECT k.*, r.t AS t0, r.aqi AS v0 FROM k ASOF LEFT JOIN r ON k.station = r.station AND k.t >= r.t),
+    g AS (SELECT f.*, r.t AS t1, r.aqi AS v1 FROM f ASOF LEFT JOIN r ON f.station = r.station AND f.t < r.t),
+    v AS (SELECT place, day, h, w * CASE WHEN t1 IS NULL OR (t0 IS NOT NULL AND epoch(t) - epoch(t0) <= epoch(t1) - epoch(t)) THEN v0 ELSE v1 END AS v FROM g),
+    s AS (SELECT place, day, h, greatest(0, any_value(a) * sum(v) + any_value(b)) AS p FROM v, m GROUP BY 1, 2, 3),
+    d AS (SELECT s.place, s.day, s.h, s.p FROM s UNION ALL
+      SELECT s.place, s.day, 24, greatest(0, a * p + b) FROM s, m WHERE h = 0 UNION ALL
+      SELECT s.place, s.day, 48, greatest(0, a * greatest(0, a * p + b) + b) FROM s, m WHERE h = 0 UNION ALL
+      SELECT s.place, s.day, 72, greatest(0, a * greatest(0, a * greatest(0, a * p + b) + b) + b) FROM s, m WHERE h = 0)
+    SELECT place || ' ' || CAST(day AS VARCHAR) AS request, h AS hours, round(p, 4) AS prediction FROM d WHERE h > 0""",
+)
+def _(spark, sf):
+    d, s = I.daily(spark, sf), I.split(spark, sf)
+    train = history.add_lags(s, ["aqi"], [1], I.timeline()).where("split = 'train' AND lag_aqi_1 IS NOT NULL")
+    model = training.linear_model(train, ["lag_aqi_1"])
+    places = spark.createDataFrame([("mid", 28.55, 77.35), ("edge", 28.7, 77.2)], "place string, lat double, lon double")
+    named = F.explode(F.array(F.lit("mid"), F.lit("edge"))).alias("place")
+    asked = d.select("date").distinct().select("date", named).join(places, "place")
+    requests = asked.select(
+        F.concat_ws(" ", "place", F.col("date").cast("string")).alias("request"),
+        F.lit(None).cast("string").alias("station"),
+        (F.col("date").cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(5))).alias("at"),
+        "lat",
+        "lon",
+    )
+    hourly = scenario.forecast_hours(requests, d, model, I.timeline(), anchors=anchors(spark, sf))
+    return I.rounded(hourly.where(F.col("hours").isin(*HORIZONS)).select("request", "hours", "prediction"), ["prediction"], 4)
+
+
 @check("m16_what_if_forecast")
 def _(spark, sf):
     rows = model_rows(spark, sf)

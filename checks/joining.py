@@ -72,7 +72,7 @@ def _(spark, sf):
 
 
 # Anchors are the stations with their places; targets are suppliers spread around them, and the anchors.
-_ANCHORS = "anchors AS (SELECT * FROM (VALUES " + ", ".join(
+ANCHORS_SQL = "anchors AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{s}', {lat}::DOUBLE, {lon}::DOUBLE)" for s, (lat, lon) in I.PLACES.items()
 ) + ") t(station, lat, lon))"
 _TARGETS = """
@@ -83,7 +83,7 @@ raw AS (SELECT target, station, CASE WHEN min(d2) OVER (PARTITION BY target) = 0
 weights AS (SELECT target, station, w / sum(w) OVER (PARTITION BY target) AS weight FROM raw)"""
 
 
-def _anchors(spark, sf):
+def anchors(spark, sf):
     """Station places for the stations that occur in the readings."""
     lat, lon = F.lit(None).cast("double"), F.lit(None).cast("double")
     for s, (a, b) in I.PLACES.items():
@@ -99,14 +99,14 @@ def _weights(spark, sf):
         (28.4 + F.col("s_nationkey") / 97.0).alias("lat"),
         (77.3 + F.col("s_acctbal") / 50011.0).alias("lon"),
     )
-    anchors = _anchors(spark, sf)
-    targets = suppliers.unionByName(anchors.withColumnRenamed("station", "target"))
-    return spatial.station_weights(targets, anchors)
+    places = anchors(spark, sf)
+    targets = suppliers.unionByName(places.withColumnRenamed("station", "target"))
+    return spatial.station_weights(targets, places)
 
 
 @check(
     "j6_distance_weights",
-    I.with_(_ANCHORS, _TARGETS) + "SELECT target, station, round(weight, 6) AS weight FROM weights",
+    I.with_(ANCHORS_SQL, _TARGETS) + "SELECT target, station, round(weight, 6) AS weight FROM weights",
 )
 def _(spark, sf):
     return I.rounded(_weights(spark, sf), ["weight"])
@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @check(
     "j6_distance_blend",
-    I.with_(I.DAILY, _ANCHORS, _TARGETS)
+    I.with_(I.DAILY, ANCHORS_SQL, _TARGETS)
     + """SELECT target, date, round(sum(weight * aqi) / sum(weight), 6) AS aqi, round(sum(weight * pm25) / sum(weight), 6) AS pm25
     FROM weights JOIN daily USING (station) WHERE weight > 0 GROUP BY 1, 2""",
 )
@@ -125,7 +125,7 @@ def _(spark, sf):
 
 @check(
     "a19_blended_monthly_pattern",
-    I.with_(I.DAILY, _ANCHORS, _TARGETS)
+    I.with_(I.DAILY, ANCHORS_SQL, _TARGETS)
     + """, m AS (SELECT station, CAST(month(date) AS INTEGER) AS month, avg(aqi) AS aqi, avg(pm25) AS pm25 FROM daily GROUP BY 1, 2)
     SELECT target, month, round(sum(weight * aqi) / sum(weight), 4) AS aqi, round(sum(weight * pm25) / sum(weight), 4) AS pm25
     FROM weights JOIN m USING (station) WHERE weight > 0 GROUP BY 1, 2""",

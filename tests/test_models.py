@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
@@ -111,6 +111,65 @@ def test_permutation_importance(rows):
     assert got["pm10"]["importance_mean"] > 0.05
 
 
+def test_boosting_stops_at_the_best_round(rows):
+    """The kept round is the best of all prefixes, each scored from its own trees; a longer fit begins with a shorter one."""
+    over = {"stepSize": 0.6, "maxDepth": 3, "maxIter": 24}
+    stopped = training.stopped_boosting(rows, X, patience=4, first=5, **over)
+    assert training.best_round([5, 4, 4, 3, 9, 9, 1], 2) == (4, True) and training.best_round([5, 4], 2) == (2, False)
+    assert 1 <= stopped.rounds <= len(stopped.curve) <= 24
+    full = training.stopped_boosting(rows, X, patience=10**6, first=24, **over)
+    held = rows.where(training.held_out()).select(*X, "aqi").toPandas()
+    assert np.allclose(full.curve[: len(stopped.curve)], stopped.curve)
+    errors = []
+    for k in range(1, len(full.curve) + 1):
+        cut = training.first_trees(full.model.stages[1], k) if k <= full.rounds else None
+        if cut is None:
+            break
+        assert cut.getNumTrees == k
+        predicted = PipelineModel([full.model.stages[0], cut]).transform(rows.where(training.held_out())).select("prediction").toPandas()["prediction"]
+        errors.append(((held["aqi"] - predicted) ** 2).mean())
+    assert np.allclose(errors, full.curve[: len(errors)])
+    assert full.rounds == int(np.argmin(full.curve)) + 1
+    want, turned = training.best_round(full.curve, 4)
+    assert stopped.rounds == want and (turned or len(stopped.curve) == 24)
+
+
+def test_permutation_importance_equals_brute_force(spark):
+    """One donor for each row and repeat, for all features alike."""
+    rng = np.random.default_rng(3)
+    data = [("s", START + dt.timedelta(days=k), *map(float, rng.normal(size=2)), float(rng.normal())) for k in range(40)]
+    df = spark.createDataFrame(data, "station string, date timestamp_ntz, a double, b double, aqi double")
+    model = training.linear_model(df, ["a", "b"])
+    got = {r["feature"]: (r["importance_mean"], r["importance_std"]) for r in training.permutation_importance(model, df, ["a", "b"], repeats=3).collect()}
+    from math import gcd
+    from random import Random
+
+    base = training._hash_numbered(df, training.SEED).orderBy("_pos").toPandas()
+    x, y, n = base[["a", "b"]].to_numpy(), base["aqi"].to_numpy(), len(base)
+    coef, at, scale = model.stages[2].coefficients.toArray(), model.stages[1].mean.toArray(), model.stages[1].std.toArray()
+    sse = lambda v: ((y - ((v - at) / scale @ coef + model.stages[2].intercept)) ** 2).sum()
+    draws, lost = Random(training.SEED), {"a": [], "b": []}
+    for _ in range(3):
+        a = draws.randrange(1, n)
+        while gcd(a, n) != 1:
+            a = draws.randrange(1, n)
+        partner = (a * np.arange(n) + draws.randrange(n)) % n
+        for j, name in enumerate("ab"):
+            swapped = x.copy()
+            swapped[:, j] = x[partner, j]
+            lost[name].append((sse(swapped) - sse(x)) / ((y - y.mean()) ** 2).sum())
+    for name, drops in lost.items():
+        assert got[name] == pytest.approx((np.mean(drops), np.std(drops)), abs=1e-9)
+
+
+def test_hash_numbering_with_many_buckets(spark):
+    df = spark.range(3_000).select(F.lit("s").alias("station"), F.col("id").alias("date"))
+    got = [r["_pos"] for r in training._hash_numbered(df, 1, bucket_rows=20).collect()]
+    assert sorted(got) == list(range(3_000))
+    order = training._hash_numbered(df, 1).select("date", "_pos").collect()
+    assert {(r["date"], r["_pos"]) for r in order} == {(r["date"], r["_pos"]) for r in training._hash_numbered(df, 1, bucket_rows=20).select("date", "_pos").collect()}
+
+
 def test_hash_numbering_is_a_bijection(rows):
     numbered = training._hash_numbered(rows.select("station", "date"), 1)
     positions = sorted(r["_pos"] for r in numbered.select("_pos").collect())
@@ -207,6 +266,53 @@ def test_block_forecast_equals_step_by_step(spark):
         np.testing.assert_allclose(mine.prediction, list(done.values()), rtol=1e-8, atol=1e-8)
 
 
+def test_forecasts_between_stations_and_odd_requests(spark):
+    """Places are blended from the nearest readings of all anchors; every request row gets its own 73 answers."""
+    days = {"a": range(0, 50), "b": [d for d in range(5, 60) if d % 7], "c": range(20, 30)}
+    where = {"a": (0.0, 0.0), "b": (3.0, 0.0), "c": (0.0, 4.0), "silent": (1.0, 1.0)}
+    value = {(s, d): float(100 + 37 * d % 91 + 10 * k) for k, s in enumerate("abc") for d in days[s]}
+    readings = spark.createDataFrame([(s, (START + dt.timedelta(days=d)).date(), v) for (s, d), v in value.items()], "station string, date date, aqi double")
+    anchors = spark.createDataFrame([(s, *p) for s, p in where.items()], "station string, lat double, lon double")
+    train = spark.createDataFrame([(float(v), 10.0 + 0.5 * v) for v in (1, 5, 9)], "lag_aqi_1 double, aqi double")
+    model = training.linear_model(train, ["lag_aqi_1"])
+    at = {"in": 40.25, "out": 4_000.0, "far": -4_000.5, "noon": 25.5}
+    asked = [
+        ("in", None, at["in"], 1.0, 1.0), ("on", "nobody", at["in"], 3.0, 0.0), ("out", "x", at["out"], 1.0, 1.0), ("far", None, at["far"], 2.0, 2.0),
+        ("noon", None, at["noon"], 1.0, 2.5), ("own", "b", at["noon"], 1.0, 1.0), ("twice", "a", at["in"], None, None), ("twice", "a", at["noon"], None, None),
+        ("lost", "x", at["in"], None, 1.0), ("timeless", "a", None, 1.0, 1.0), (None, None, None, None, None),
+    ]
+    moment = lambda d: None if d is None else START + dt.timedelta(days=d)
+    requests = spark.createDataFrame([(r, s, moment(d), lat, lon) for r, s, d, lat, lon in asked], "request string, station string, at timestamp_ntz, lat double, lon double")
+    got = scenario.forecast_hours(requests, readings, model, Timeline(rows=20), anchors=anchors).toPandas()
+    assert len(got) == 73 * len(asked)
+
+    def nearest(s, day):
+        return value[s, min(days[s], key=lambda d: (abs(d - day), d))]
+
+    def looked_up(station, lat, lon, day):
+        if station in days:
+            return nearest(station, day)
+        d2 = {s: (lat - where[s][0]) ** 2 + (lon - where[s][1]) ** 2 for s in days}
+        raw = {s: float(v == 0) if 0.0 in d2.values() else 1 / v for s, v in d2.items()}
+        return sum(w * nearest(s, day) for s, w in raw.items()) / sum(raw.values())
+
+    answered = {}
+    for row in got.itertuples():
+        answered.setdefault((row.request, row.at), {})[row.hours] = row.prediction
+    for r, s, d, lat, lon in asked:
+        found = next(v for k, v in answered.items() if (k[0] == r or (r is None and not isinstance(k[0], str))) and (d is None or k[1] == moment(d)))
+        assert sorted(found) == list(range(73))
+        if d is None or (s not in days and (lat is None or lon is None)):
+            assert all(np.isnan(v) for v in found.values())
+            continue
+        done = {}
+        for h in range(73):
+            done[h] = 10.0 + 0.5 * (done[h - 24] if h >= 24 else looked_up(s, lat, lon, d + h / 24 - 1))
+            assert found[h] == pytest.approx(done[h], abs=1e-6)
+    nobody = scenario.forecast_hours(requests.where("request = 'in'"), readings, model, anchors=anchors.where("station = 'silent'"))
+    assert nobody.count() == 73 and nobody.where("prediction IS NOT NULL").count() == 0
+
+
 def test_read_out(spark):
     hourly = spark.createDataFrame([("r", "s", h, 5.0 + h) for h in range(73)], "request string, station string, hours int, prediction double")
     out = scenario.read_out(hourly).orderBy("hours").collect()
