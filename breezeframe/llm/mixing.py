@@ -138,8 +138,8 @@ def _places(docs: DataFrame, block: int, carry: tuple[str, ...]) -> tuple[DataFr
 
     place = F.xxhash64("doc_id", F.lit(17))
     bucket = F.floor((place / F.lit(2.0**64) + F.lit(0.5)) * buckets)
-    lookup = targets.select(F.col("source").alias("_of"), "number", "source_size", "target", "covered")
-    rows = rows.withColumns({"place": place, "bucket": bucket}).join(lookup, F.col("source").eqNullSafe(F.col("_of")))
+    lookup = targets.select(F.col("source").alias("wanted_source"), "number", "source_size", "target", "covered")
+    rows = rows.withColumns({"place": place, "bucket": bucket}).join(lookup, F.col("source").eqNullSafe(F.col("wanted_source")))
     sums = rows.groupBy("number", "bucket").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("number").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialise(sums.select("number", "bucket", F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("base")), "mix-buckets")

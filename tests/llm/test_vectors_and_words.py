@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breezeframe.llm import language, queries, spelling, whitening
+from breezeframe.llm import language, line_dedup, queries, spelling, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, component int, x string"
 
@@ -272,3 +272,32 @@ def test_pairs_are_reported_once_and_empty_tables_give_none(spark):
     assert set(pairs) == {(a, b) for a in words for b in words if a != b and apart(a, b) == 1}
     empty = spark.createDataFrame([], TEXTS)
     assert spelling.variants(empty).count() == 0
+
+
+# --- lines --------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_lines_of_shared_ids_and_clashing_columns(spark, whole):
+    """Rows of one id keep their own lines, null ids count as rows, equal rows share a verdict, internal names may occur."""
+    near = " ".join(f"w{k}" for k in range(60))
+    rows = [
+        (0, "x y z w v"), (1, "x y z w v"), (1, "other unique line here"), (1, None), (2, ""), (None, "x y z w v\nalone without an id"),
+        (None, "second without an id"), (3, near), (4, near.replace("w59", "changed")), (5, "twice the very same\ntwice the very same"), (6, "a copied row stands here"),
+        (6, "a copied row stands here"),
+    ]
+    schema = "doc_id long, text string, _id long, _cut string, _n_cut long, `left` string, address string, n_chars long, `row` long, `of` long"
+    df = spark.createDataFrame([(*r, 1, "c", 2, "l", "a", None if r[1] is None else len(r[1]), 7, 8) for r in rows], schema)
+    out = line_dedup.without_repeats(df, whole=whole)
+    assert sorted(out.columns) == sorted([*df.columns, "_n_lines"])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append(r.text)
+        assert (r["_cut"], r["left"], r["address"], r["row"], r["of"]) == ("c", "l", "a", 7, 8)
+        assert r.n_chars == (None if r.text is None else len(r.text))
+    texts = [t for v in got.values() for t in v]
+    assert len(texts) == len(rows)
+    lines = Counter(line for t in texts if t for line in t.split("\n"))
+    assert lines["x y z w v"] == 1 and lines["other unique line here"] == 1 and lines["alone without an id"] == 1 and lines["second without an id"] == 1
+    assert lines["twice the very same"] == 1 and got[6] == ["a copied row stands here"] * 2 and None in got[1] and got[2] == [""]
+    assert line_dedup.without_repeats(df.limit(0), whole=whole).count() == 0
