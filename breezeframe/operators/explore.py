@@ -14,6 +14,9 @@ from ..functions.calendar import month_name, season
 from ..functions.numeric import clamp, sample_skewness
 from .spine import DEFAULT_MONTH_AQI
 
+# --- Fixed values: means of seasons without readings -------------------------
+SEASON_AQI = {"Winter": 280.0, "Spring": 140.0, "Summer": 160.0, "Monsoon": 90.0, "Post_Monsoon": 200.0}
+
 DAYS_PER_YEAR = 365.25
 MIN_PAIRS = 10
 MIN_SEASON_ROWS = 5
@@ -81,6 +84,19 @@ def monthly_pattern(df: DataFrame, column: str = "aqi") -> DataFrame:
     )
 
 
+def seasonal_pattern(df: DataFrame, column: str = "aqi", scheme: str = "training") -> DataFrame:
+    """The mean of every season per station; a season without readings takes its default."""
+    of = season(F.month("date"), scheme)
+    means = [
+        F.struct(F.lit(name).alias("season"), F.avg(F.when(of == name, F.col(column))).alias("v"), F.lit(default).alias("d"))
+        for name, default in SEASON_AQI.items()
+    ]
+    wide = df.groupBy("station").agg(F.array(*means).alias("_p"))
+    return wide.select("station", F.explode("_p").alias("_m")).select(
+        "station", F.col("_m.season").alias("season"), F.round(F.coalesce("_m.v", "_m.d"), 1).alias(column)
+    )
+
+
 def seasonal_stats(df: DataFrame, column: str = "aqi", scheme: str = "training") -> DataFrame:
     return df.groupBy(season(F.month("date"), scheme).alias("season"), "station").agg(
         F.avg(column).alias("mean"),

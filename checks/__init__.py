@@ -10,6 +10,7 @@ from . import (
     features,
     joining,
     modelling,
+    preparing,
     quality,
     sources,
 )
@@ -24,6 +25,7 @@ __all__ = [
     "joining",
     "modelling",
     "oracles",
+    "preparing",
     "quality",
     "queries",
     "sources",

@@ -281,3 +281,49 @@ def _(spark, sf):
         F.col("aqi").alias("lag_aqi_1"),
     )
     return scenario.what_if_steps(scenarios, model, FEATURES, train)
+
+
+# Least squares of two features in closed form; the attribution of a linear model is slope times distance from the mean.
+_TWO = I.with_(I.DAILY, I.SPLIT) + """, t AS (SELECT * FROM split WHERE split = 'train'),
+  c AS (SELECT avg(pm10) AS mp, avg(co) AS mc, avg(aqi) AS my, var_pop(pm10) AS pp, var_pop(co) AS cc, covar_pop(pm10, co) AS pc,
+    covar_pop(pm10, aqi) AS py, covar_pop(co, aqi) AS cy FROM t),
+  m AS (SELECT *, (py * cc - cy * pc) / (pp * cc - pc * pc) AS a, (cy * pp - py * pc) / (pp * cc - pc * pc) AS b FROM c),
+  x AS (SELECT station, date, a * (pm10 - mp) AS p, b * (co - mc) AS q, my FROM split, m WHERE split = 'test')
+  SELECT station, date, 'pm10' AS feature, round(p, 3) AS phi, round(my + p + q, 3) AS prediction, round(my, 3) AS base FROM x
+  UNION ALL SELECT station, date, 'co', round(q, 3), round(my + p + q, 3), round(my, 3) FROM x"""
+_PAIR = ["pm10", "co"]
+
+
+def _two(spark, sf):
+    s = I.split(spark, sf)
+    train = s.where("split = 'train'")
+    return training.linear_model(train, _PAIR), train, s.where("split = 'test'")
+
+
+@check("m13_linear_attribution", _TWO)
+def _(spark, sf):
+    model, train, test = _two(spark, sf)
+    return I.rounded(explain.coalition_attribution(model, test, train, _PAIR), ["phi", "prediction", "base"], 3)
+
+
+@check("m14_linear_occlusion", _TWO)
+def _(spark, sf):
+    model, train, test = _two(spark, sf)
+    return I.rounded(explain.occlusion_attribution(model, test, train, _PAIR, _PAIR), ["phi", "prediction", "base"], 3)
+
+
+@check(
+    "m16_what_if_recursion",
+    I.with_(I.DAILY, I.SPLIT).replace("WITH", "WITH RECURSIVE", 1)
+    + """, l AS (SELECT *, lag(aqi) OVER (PARTITION BY station ORDER BY date) AS x FROM split),
+    m AS (SELECT regr_slope(aqi, x) AS a, regr_intercept(aqi, x) AS b, avg(x) AS mean FROM l WHERE split = 'train' AND x IS NOT NULL),
+    s AS (SELECT station || ' ' || CAST(date AS VARCHAR) AS scenario, 0 AS hours, coalesce(x, mean) AS v FROM l, m
+      UNION ALL SELECT scenario, hours + 1, greatest(15.0, least(500.0, round(a * v + b, 1))) FROM s, m WHERE hours < 24)
+    SELECT scenario, hours, CAST(floor(v) AS INTEGER) AS aqi FROM s WHERE hours > 0""",
+)
+def _(spark, sf):
+    rows = history.add_lags(I.split(spark, sf), ["aqi"], [1], I.timeline())
+    train = rows.where("split = 'train' AND lag_aqi_1 IS NOT NULL")
+    model = training.linear_model(train, ["lag_aqi_1"])
+    asked = rows.select(F.concat_ws(" ", "station", F.col("date").cast("string")).alias("scenario"), F.col("date").cast("timestamp_ntz").alias("at"), "lag_aqi_1")
+    return scenario.what_if_steps(asked, model, ["lag_aqi_1"], train.withColumn("lag_aqi_7", F.col("lag_aqi_1"))).drop("at")
