@@ -29,7 +29,6 @@ SHARE = 1.5
 ROUNDS = 2
 BLOCK = 256
 BUCKET = 10_000
-CHUNK = 1 << 16
 GRID = 1 << 12
 _BITS = 44
 
@@ -82,12 +81,13 @@ def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
     spark = targets.sparkSession
     total = targets.agg(F.sum("target")).first()[0] or 0.0
     n_slots = int(-(-total // block))
+    chunk = 1 << max(8, (n_slots.bit_length() + 1) // 2)  # slots of a chunk and chunks of a source both follow the square root
     slots = spark.range(0, n_slots).withColumnRenamed("id", "slot").withColumn("x", van_der_corput(F.col("slot")))
     slots = slots.withColumn("cell", F.floor(F.col("x") * GRID))
     last = F.least(F.floor(F.col("high") * GRID), F.lit(GRID - 1).cast("long"))
     needed = targets.withColumn("covered", covered_words()).where("covered > 0")
     spans = needed.select("number", "low", "high", "covered", F.explode(F.sequence(F.floor(F.col("low") * GRID), last)).alias("cell"))
-    owned = slots.join(spans, "cell").where("x >= low and x < high").withColumn("chunk", F.floor(F.col("slot") / CHUNK))
+    owned = slots.join(spans, "cell").where("x >= low and x < high").withColumn("chunk", F.floor(F.col("slot") / chunk))
     counts = owned.groupBy("number", "chunk").agg(F.count("*").alias("c"))
     earlier = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     points = counts.groupBy("number").agg(F.sum("c").alias("points"))

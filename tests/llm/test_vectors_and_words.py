@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from breezeframe.llm import language, line_dedup, queries, spelling, whitening
+from breezeframe.llm import language, line_dedup, mixing, queries, spelling, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, component int, x string"
 
@@ -301,3 +301,28 @@ def test_lines_of_shared_ids_and_clashing_columns(spark, whole):
     assert lines["x y z w v"] == 1 and lines["other unique line here"] == 1 and lines["alone without an id"] == 1 and lines["second without an id"] == 1
     assert lines["twice the very same"] == 1 and got[6] == ["a copied row stands here"] * 2 and None in got[1] and got[2] == [""]
     assert line_dedup.without_repeats(df.limit(0), whole=whole).count() == 0
+
+
+# --- schedule -----------------------------------------------------------------------------------------------------
+
+
+def test_slots_equal_brute_force_van_der_corput_ranks(spark):
+    """Slots are points of the sequence in the sources' shares, numbered in slot order; sources short of points get even slots."""
+    sizes = {"a": 9_000, "b": 4_000, "c": 150, None: 70}
+    docs = spark.createDataFrame([(k, s) for s, n in sizes.items() for k in range(n // 10)], "k long, source string")
+    targets = mixing.source_targets(docs.select("source", F.lit(10).cast("long").alias("size"))).persist()
+    block = 16
+    rows = {r.number: r for r in targets.collect()}
+    n_slots = math.ceil(sum(r.target for r in rows.values()) / block)
+    mirror = lambda i: sum((i >> k & 1) / 2 ** (k + 1) for k in range(i.bit_length()))
+    want = {}
+    for number, r in rows.items():
+        words = min(round(r.target), 2 * r.source_size)
+        blocks = math.ceil(words / block)
+        own = [(i, 0) for i in range(n_slots) if r.low <= mirror(i) < r.high]
+        own = own[:blocks] + [(math.floor((b + 0.5) / blocks * n_slots), number) for b in range(len(own), blocks)]
+        for b, (slot, turn) in enumerate(own):
+            want[number, b] = (slot, turn, min(block, words - b * block))
+    got = {(r.number, r.block): (r.slot, r.turn, r.words) for r in mixing.schedule(targets, block).collect()}
+    assert got == want
+    assert mixing.mixed(spark.createDataFrame([(1, "a b c", "s", 3)], "doc_id long, text string, source string, `of` int")).count() == 2
