@@ -283,6 +283,34 @@ def test_vectors_equal_brute_force(spark):
     assert (got.loc[900:, "n_links"] == 0).all() and got.loc[900:, "kept"].all()
 
 
+def test_vectors_of_one_clustered_label(spark):
+    """More rows than a window, one label of mutual cosine 0.7, a vector that a third of all rows hold, columns of clashing names."""
+    rng = np.random.default_rng(4)
+    unit = lambda z: z / np.linalg.norm(z, axis=-1, keepdims=True)
+    n = 3_000
+    x = np.sqrt(0.7) * unit(rng.standard_normal(64)) + np.sqrt(0.3) * unit(rng.standard_normal((n, 64)))
+    x[:400] = x[400:800] + 0.03 * rng.standard_normal((400, 64))
+    x[1000:2000] = x[999]
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), 3, 1, 2) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int, class int, n int")
+    u = unit(x.astype(float))
+    linked = (u @ u.T >= 0.93) & ~np.eye(n, dtype=bool)
+    want = closure(range(n), np.argwhere(linked).tolist())
+    got = vector_dedup.near_vectors(df).toPandas().set_index("vec_id").sort_index()
+    counts = linked.sum(axis=1)
+    assert (counts[:400] > 0).sum() > 100 and (counts[1000:2000] >= 1000).all()
+    assert got["component_id"].tolist() == [want[k] for k in range(n)] and got["n_links"].tolist() == counts.tolist()
+    assert (got["kept"] == (got.index == got["component_id"])).all()
+
+
+def test_vectors_of_any_magnitude_and_none(spark):
+    rows = [(1, [1e-60, 2e-60], 0), (2, [1e60, 2e60], 0), (3, [2.0, -1.0], 0), (3, [2.0, -1.0], 0), (4, [1e-60, 2e-60], 1), (5, [1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(map(tuple, vector_dedup.near_vectors(df).collect()))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 1, 3, True), (3, 1, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    assert vector_dedup.near_vectors(df.where("vec_id < 0")).count() == 0
+
+
 def test_toxicity_learns_and_scores_everything(spark, docs, empty):
     rng = random.Random(8)
     vocab = [f"v{k}" for k in range(200)]
