@@ -11,9 +11,16 @@ Containers (an ``article`` or ``main``, or the page around them) are compared by
 which count ``PRIOR`` times in an ``article`` or ``main``; those with less than ``LEAST`` of the best are left out,
 the page like any other. Short lines between two seeds stay by their distance, counted in tags, as lines of a menu
 have several and lines of a verse one: at most ``JOIN``, or ``INSIDE`` in one ``article`` or ``main``. There, lines of
-one or two tags stay at any distance between seeds, and next to the first and last one.
+one or two tags stay at any distance between seeds, and next to the first and last one; the same holds next to the
+first and last seed for lines of the ``div`` or ``section`` that holds the seed. A heading before the first seed stays
+with all lines after it, such as a byline of several links, when they have at most ``INSIDE`` tags (``JOIN`` outside
+``article`` and ``main``).
 
-Character references are decoded, white space inside a line becomes one space, lines join by one space. Null
+Inside ``article`` and ``main``, a paragraph, heading or cell whose class or id has the name of a page part only
+inside a longer word (``share-price``) is not left out by that name: it stays when it is a seed by its ratio and that is
+within a factor of ``APART`` of the page's median.
+
+Pages are read whole, whatever their length; an empty table gives no rows. Character references are decoded, white space inside a line becomes one space, lines join by one space. Null
 and empty pages give an empty text. Broken markup is closed implicitly: a block start ends an open paragraph,
 and ``article`` or ``main`` ends an unclosed left-out element. Repeated rows are pages of their own; other
 columns are ignored.
@@ -24,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -47,21 +55,32 @@ PART_NAMES = re.compile(
     re.IGNORECASE,
 )
 CLOSED_BY_BLOCK = frozenset("p li dt dd td th tr h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
 SIGMA = 1.0
 APART = 6.0
 PRIOR, LEAST = 2.0, 0.2
 JOIN, INSIDE = 8, 48
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    container: int  # number of the article or main around it, 0 for none
+    section: int  # number of the nearest div or section, 0 for none
+    heading: bool
+    doubtful: bool  # named like a page part by a piece of a longer word only
+
+
 class Lines(HTMLParser):
-    """Collects ``(container, text, tags)`` of each line outside left-out elements."""
+    """Collects the lines outside left-out elements."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[int, str, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, left out, container
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, int, int, bool]] = []  # name, left out, container, section, doubtful
         self.text: list[str] = []
-        self.tags = self.containers = 0
+        self.tags = self.containers = self.sections = 0
 
     def _left_out(self) -> bool:
         return bool(self.open) and self.open[-1][1]
@@ -69,7 +88,9 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((self.open[-1][2] if self.open else 0, text, max(1, self.tags)))
+            _, _, container, section, doubtful = self.open[-1] if self.open else ("", False, 0, 0, False)
+            heading = any(name in HEADINGS for name, *_ in self.open)
+            self.lines.append(Line(text, max(1, self.tags), container, section, heading, doubtful))
         self.text, self.tags = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -81,13 +102,18 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        part = any(v and k in ("class", "id", "role") and PART_NAMES.search(v) for k, v in attrs) and tag not in ("html", "body")
-        container = self.open[-1][2] if self.open else 0
-        left_out = self._left_out()
+        names = [v for k, v in attrs if v and k in ("class", "id", "role")]
+        part = tag not in ("html", "body") and any(PART_NAMES.search(v) for v in names)
+        _, left_out, container, section, doubtful = self.open[-1] if self.open else ("", False, 0, 0, False)
+        if part and container and tag in PROSE and not any(PART_NAMES.fullmatch(word) for v in names for word in v.split()):
+            part, doubtful = False, True
         if tag in ("article", "main") and not part:
             self.containers += 1
             container, left_out = self.containers, False
-        self.open.append((tag, left_out or part or tag in LEFT_OUT, container))
+        if tag in ("div", "section"):
+            self.sections += 1
+            section = self.sections
+        self.open.append((tag, left_out or part or tag in LEFT_OUT, container, section, doubtful))
 
     def _close_implied(self, tag: str) -> None:
         """A block ends an open paragraph; a list item or cell ends the one before it."""
@@ -129,12 +155,17 @@ def content_threshold(ratios: np.ndarray) -> float:
     return float(np.exp((low + high) / 2)) if high - low >= np.log(APART) else 0.0
 
 
-def content_lines(containers: np.ndarray, chars: np.ndarray, tags: np.ndarray) -> np.ndarray:
+def content_lines(lines: list[Line]) -> np.ndarray:
     """Which lines are content."""
+    chars = np.array([len(line.text) for line in lines])
+    tags, containers, sections = (np.array([line[k] for line in lines]) for k in (1, 2, 3))
+    headings, doubtful = (np.array([line[k] for line in lines], dtype=bool) for k in (4, 5))
     own = chars / tags
     smoothed = smooth(own)
     cut = content_threshold(smoothed)
     seeds = (smoothed >= cut) & (own >= cut / 2)
+    sure = ~doubtful | (seeds & (own >= np.median(own) / APART))
+    seeds &= sure
     if not seeds.any():
         seeds = smoothed >= smoothed.max()
     value = np.bincount(containers, weights=np.where(seeds, chars, 0) * np.where(containers > 0, PRIOR, 1.0))
@@ -148,13 +179,21 @@ def content_lines(containers: np.ndarray, chars: np.ndarray, tags: np.ndarray) -
             out[a:b] = allowed[a:b]
     for container in np.unique(containers[at]):
         inside = at[containers[at] == container]
-        if container:
-            for steps in (range(inside[0] - 1, -1, -1), range(inside[-1] + 1, len(out))):
-                for k in steps:
-                    if containers[k] != container or tags[k] > 2:
-                        break
-                    out[k] = True
-    return out
+        first, last = inside[0], inside[-1]
+        for end, steps in ((first, range(first - 1, -1, -1)), (last, range(last + 1, len(out)))):
+            for k in steps:
+                near = container != 0 or sections[k] == sections[end] != 0
+                if containers[k] != container or tags[k] > 2 or not near:
+                    break
+                out[k] = True
+        spent = 0
+        for k in range(first - 1, -1, -1):
+            spent += tags[k]
+            if containers[k] != container or spent > (INSIDE if container else JOIN):
+                break
+            if headings[k]:
+                out[k:first] |= containers[k:first] == container
+    return out & sure
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -175,8 +214,7 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    content = content_lines(*(np.array(x) for x in zip(*((c, len(text), tags) for c, text, tags in lines), strict=True)))
-    return " ".join(text for (_, text, _), stays in zip(lines, content, strict=True) if stays)
+    return " ".join(line.text for line, stays in zip(lines, content_lines(lines), strict=True) if stays)
 
 
 def extract(pages: DataFrame) -> DataFrame:

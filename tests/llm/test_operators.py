@@ -215,6 +215,27 @@ def test_main_text_selects_lines():
     assert main_text.main_text(f"<body><div>{menu}</div><article>{body}</article></body>") == want
 
 
+def test_main_text_keeps_titles_bylines_and_ends():
+    prose = [f"Paragraph {k} tells a long story in many words, " + "and goes on and on " * 12 + "until it ends." for k in range(5)]
+    body, told = "".join(f"<p>{x}</p>" for x in prose), " ".join(prose)
+    byline = "<h1>Title</h1><p>By <a href='/a'>Ann Roe</a>, <a href='/c'>City</a></p>"
+    assert main_text.main_text(f"<nav>menu</nav><article>{byline}{body}</article>") == f"Title By Ann Roe, City {told}"
+    price = "The share price of the company rose by a full eleven percent on that day, more than anyone had thought."
+    named = f"<article>{body}<p class='share-price'>{price}</p><p class='cookie-notice'>Cookies.</p><p class='share'>{price}</p></article>"
+    assert main_text.main_text(named) == f"{told} {price}"
+    ends = f"<div><a href='/'>Home</a></div><div><h1>Title</h1><h2>Part</h2>{body}<ul><li>First item<li>Second item</ul></div><div><p>Copyright</p></div>"
+    assert main_text.main_text(f"<body>{ends}</body>") == f"Title Part {told} First item Second item"
+    assert main_text.main_text(f"<article>{'<p>word</p>' * 50_000}</article>") == " ".join(["word"] * 50_000)
+
+
+def test_main_text_of_odd_tables(spark):
+    rows = [(1, "u", "<p>x</p>", "a"), (1, "u", "<p>x</p>", "b"), (None, None, None, "c"), (2, "", "", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").selectExpr("*", "1 AS n_chars", "2 AS lines")
+    got = sorted(map(tuple, main_text.extract(df).collect()), key=str)
+    assert got == sorted([(1, "u", "x", 1), (1, "u", "x", 1), (None, None, "", 0), (2, "", "", 0)], key=str)
+    assert main_text.extract(df.where("page_id > 5")).count() == 0
+
+
 def test_main_text_keeps_whole_articles(spark, sf):
     rows = main_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     assert rows and all(r.n_chars == len(r.text) and "track(" not in r.text for r in rows)
