@@ -3,7 +3,9 @@
 Spark's exact ``percentile`` keeps every distinct value of a group in one buffer.  Here a mergeable
 sketch brackets each order statistic, one aggregation counts what lies below each bracket exactly and
 keeps only the distinct values inside it (and the nearest value on either side), and the rank is
-resolved among those few values. Both summaries are stored, so the rows are read exactly twice. A rank that falls outside its bracket is an error, never a guess.
+resolved among those few values. Both summaries are stored, so the rows are read exactly twice. The exact
+counts show when a rank lies outside its bracket; then the brackets of those groups are widened to the end of
+the range on that side, and only the rows of those groups are counted once more. So a result is never a guess.
 """
 
 from __future__ import annotations
@@ -50,8 +52,36 @@ def quantiles(
         return F.col("_max") if cuts[k + i] == 1.0 else cut
 
     bounds = [F.struct(low(i).alias("lo"), high(i).alias("hi")) for i in range(k)]
-    sketch = materialise(sketch.select(*keys, F.array(*bounds).alias("_b")), "sketch")
+    sketch = materialise(sketch.select(*keys, F.array(*bounds).alias("_b"), "_min", "_max"), "sketch")
+    solved = materialise(_resolved(rows, sketch, keys, list(probs.values())), "solved")
+    if not solved.where("_q IS NULL").isEmpty():
+        sides = [F.max(F.when((F.col("_i") == i) & F.col("_q").isNull(), F.col("_side"))).alias(f"_s{i}") for i in range(k)]
+        missed = materialise(solved.groupBy(*keys).agg(*sides, F.count_if(F.col("_q").isNull()).alias("_m")).where("_m > 0"), "missed")
+        wider = [
+            F.struct(
+                F.when(F.col(f"_s{i}") < 0, F.col("_min")).otherwise(F.col("_b")[i]["lo"]).alias("lo"),
+                F.when(F.col(f"_s{i}") > 0, F.col("_max")).otherwise(F.col("_b")[i]["hi"]).alias("hi"),
+            )
+            for i in range(k)
+        ]
+        second = _attach(sketch, missed, keys).select(*keys, F.array(*wider).alias("_b"))
+        second = materialise(second, "second")
+        rest = _anti(solved, second, keys)
+        solved = rest.unionByName(_resolved(rows, second, keys, list(probs.values())))
+    checked = F.when(F.col("_q").isNull(), F.raise_error(F.lit("quantile rank outside the range of its group")).cast("double"))
+    return solved.groupBy(*keys).agg(
+        F.max("_n").alias("n"),
+        *[F.max(F.when(F.col("_i") == i, checked.otherwise(F.col("_q")))).alias(nm) for i, nm in enumerate(names)],
+    )
+
 
+def _resolved(rows: DataFrame, sketch: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """``keys, _i, _n, _side, _q`` for the groups of ``sketch(keys, _b)`` and every probability.
+
+    ``_q`` is null where the bracket misses the rank, which then lies below (``_side`` -1) or above it (1).
+    """
+    k = len(probs)
+    sketch = sketch.select(*keys, "_b")
     inside = F.lit(False)
     for i in range(k):
         inside = inside | F.col("_x").between(F.col("_b")[i]["lo"], F.col("_b")[i]["hi"])
@@ -81,7 +111,7 @@ def quantiles(
             F.min(f"_after{i}").alias("after"),
             F.lit(float(p)).alias("p"),
         )
-        for i, p in enumerate(probs.values())
+        for i, p in enumerate(probs)
     ]
     folded = counted.groupBy(*keys).agg(F.array(*per_prob).alias("_w"), F.sum("_c").alias("_n"))
     spread = folded.select(*keys, "_n", F.posexplode("_w").alias("_i", "_w"))
@@ -142,36 +172,31 @@ def quantiles(
     )
     lo_rank, hi_rank = F.floor("_r"), F.ceil("_r")
     covers = lambda rank: (rank < F.col("_upto")) & (rank >= F.col("_upto") - F.col("_c"))
-    solved = (
-        placed.groupBy(*group)
-        .agg(
-            F.max("_n").alias("_n"),
-            F.max("_r").alias("_r"),
-            F.max(F.when(covers(lo_rank), F.col("_v"))).alias("_lo"),
-            F.max(F.when(covers(hi_rank), F.col("_v"))).alias("_hi"),
-        )
-        .withColumn(
-            "_q",
-            F.when(
-                F.col("_lo").isNull() | F.col("_hi").isNull(),
-                F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"),
-            ).otherwise(
-                F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_r") - F.floor("_r"))
-            ),
-        )
+    found = placed.groupBy(*group).agg(
+        F.max(F.when(covers(lo_rank), F.col("_v"))).alias("_lo"),
+        F.max(F.when(covers(hi_rank), F.col("_v"))).alias("_hi"),
     )
-    return solved.groupBy(*keys).agg(
-        F.max("_n").alias("n"),
-        *[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(nm) for i, nm in enumerate(names)],
+    # A rank that no candidate covers leaves no row here, so the groups come from the counts.
+    return _attach(wanted, found, group, "left").select(
+        *group,
+        "_n",
+        F.when(lo_rank < F.col("_under"), -1).otherwise(1).alias("_side"),
+        (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_r") - lo_rank)).alias("_q"),
     )
 
 
-def _attach(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Null-safe inner join on ``on``."""
+def _anti(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows of ``left`` whose group is not in ``right``, which is not empty."""
+    known = right.select(*on, F.lit(True).alias("_known"))
+    return _attach(left, known, on, "left").where("_known IS NULL").drop("_known")
+
+
+def _attach(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Null-safe join on ``on``."""
     if not on:
         # One summary row for the whole table, addressed through a constant key.
         return left.withColumn("_one", F.lit(1)).join(
-            right.withColumn("_one", F.lit(1)), "_one"
+            right.withColumn("_one", F.lit(1)), "_one", how
         ).drop("_one")
     renamed = right.select(
         *[F.col(c).alias(f"_k_{c}") for c in on], *[c for c in right.columns if c not in on]
@@ -179,4 +204,4 @@ def _attach(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     cond = F.lit(True)
     for c in on:
         cond = cond & left[c].eqNullSafe(renamed[f"_k_{c}"])
-    return left.join(renamed, cond, "inner").drop(*[f"_k_{c}" for c in on])
+    return left.join(renamed, cond, how).drop(*[f"_k_{c}" for c in on])

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from breezeframe.core import quantiles as module
 from breezeframe.core.quantiles import quantiles
 
 PROBS = {"p0": 0.0, "p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99, "p100": 1.0}
@@ -49,3 +50,24 @@ def test_without_keys(spark):
     df = spark.range(0, 1001).selectExpr("double(id) AS v")
     row = quantiles(df, [], "v", {"m": 0.5}).first()
     assert (row["n"], row["m"]) == (1001, 500.0)
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_a_missed_bracket_is_widened(spark, monkeypatch, keys):
+    """A sketch of ten centroids with a margin far below its error misses ranks on either side."""
+    monkeypatch.setattr(module, "ACCURACY", 10)
+    monkeypatch.setattr(module, "MARGIN", 1e-6)
+    calls = []
+    resolved = module._resolved
+    monkeypatch.setattr(module, "_resolved", lambda *args: calls.append(1) or resolved(*args))
+    rng = np.random.default_rng(9)
+    groups = {"wide": rng.standard_cauchy(30_000), "even": rng.uniform(size=30_000), "small": rng.normal(size=4)}
+    groups = groups if keys else {"wide": groups["wide"]}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r["g"] if keys else "wide": r for r in quantiles(df, keys, "v", PROBS).collect()}
+    assert len(calls) == 2 and set(got) == set(groups)
+    for name, values in groups.items():
+        assert got[name]["n"] == len(values)
+        for column, p in PROBS.items():
+            assert got[name][column] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
