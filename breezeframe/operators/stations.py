@@ -58,9 +58,10 @@ def encode_stations(df: DataFrame, codes: Mapping[str, int]) -> DataFrame:
 
 
 def encode_from_table(df: DataFrame, codes: DataFrame) -> DataFrame:
-    """As ``encode_stations`` for a code table (station, code) of any size."""
+    """As ``encode_stations`` for a code table (station, code) of any size; it is stored, so the join knows its size."""
+    codes = materialise(codes.select("station", F.col("code").alias("_code")), "codes")
     return (
-        df.join(codes.select("station", F.col("code").alias("_code")), "station", "left")
+        df.join(codes, "station", "left")
         .withColumn("station_encoded", F.coalesce("_code", F.lit(UNKNOWN_STATION)).cast("int"))
         .drop("_code")
     )
@@ -83,7 +84,7 @@ def add_season_means(df: DataFrame, pivot: DataFrame, grand: DataFrame) -> DataF
 
 
 def add_holidays(df: DataFrame, holidays: DataFrame, date: str = "date") -> DataFrame:
-    """1 on listed days, else 0. ``holidays`` may repeat dates."""
-    days = holidays.select(F.col("date").cast("date").alias("_day")).distinct()
+    """1 on listed days, else 0. ``holidays`` may repeat dates; the distinct days are stored, so the join knows their size."""
+    days = materialise(holidays.select(F.col("date").cast("date").alias("_day")).distinct(), "holidays")
     joined = df.join(days, df[date].cast("date") == days["_day"], "left")
     return joined.withColumn("is_holiday", F.col("_day").isNotNull().cast("int")).drop("_day")
