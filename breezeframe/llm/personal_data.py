@@ -8,7 +8,13 @@ a label; so the best path of a whole text splits, without loss, at all other wor
 Viterbi in numpy batches, all runs of one length at once. What the field finds beside the base spans is
 checked against the kind's own rule (Luhn, number of digits, address parts) and returned as ``crf_kind``.
 
-Null counts as empty. Repeated rows are searched each. Other columns are ignored.
+Bounds of the training table, none of which touches what is searched: at most ``SAMPLE`` documents with a digit or an at
+sign, by a hash of their ids; of each the first 20 pieces around such a character, with up to 40 characters before and 60
+after it, so a word at the end of a piece can be cut; of all pieces the first ``2 * SAMPLE`` by ``doc_id``. A word's
+shape is taken from its first 80 characters. As the labels are the base spans, the field adds few spans of other forms.
+
+Null counts as empty, long texts are searched whole, and an empty table gives no rows. Repeated rows are searched each.
+Other columns are ignored.
 """
 
 from __future__ import annotations
