@@ -197,9 +197,11 @@ def stopped_boosting(
     patience: int = PATIENCE,
     first: int = 64,
     key: Sequence[str] = ("station", "date"),
+    held: Column | None = None,
     **over,
 ) -> StoppedBoosting:
-    """Boosting that stops after ``patience`` rounds without gain on a tenth of the rows and keeps the best round's trees.
+    """Boosting that stops after ``patience`` rounds without gain on the ``held`` rows, a tenth by a hash of ``key`` unless
+    given, and keeps the best round's trees.
 
     A round depends on the rounds before it only, so a fit of ``first`` rounds is the beginning of a longer one: the
     number of rounds is doubled until the curve has turned, up to ``maxIter``. Every prefix is scored in one pass.
@@ -209,13 +211,13 @@ def stopped_boosting(
     """
     settings = {**HISTOGRAM, **over}
     most = settings.pop("maxIter")
-    marked = _assembler(features).transform(train.withColumn("_held", held_out(key)))
-    learn, held = (cut_lineage(marked.where(c).select("raw_features", F.col(label).cast("double").alias(label))) for c in ("not _held", "_held"))
+    marked = _assembler(features).transform(train.withColumn("_held", held_out(key) if held is None else held))
+    learn, kept_out = (cut_lineage(marked.where(c).select("raw_features", F.col(label).cast("double").alias(label))) for c in ("not coalesce(_held, false)", "_held"))
     rounds = min(first, most)
     while True:
         reg = GBTRegressor(featuresCol="raw_features", labelCol=label, seed=SEED, maxIter=rounds, **settings)
         model = reg.fit(learn)
-        curve = model.evaluateEachIteration(held, "squared")
+        curve = model.evaluateEachIteration(kept_out, "squared")
         count, turned = best_round(curve, patience)
         if turned or rounds == most:
             return StoppedBoosting(PipelineModel([_assembler(features), first_trees(model, count)]), count, curve)

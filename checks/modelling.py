@@ -1,4 +1,5 @@
-"""Spark ML models. Penalised models are checked in the one-feature case, which SQL can solve."""
+"""Spark ML models. Penalised models are checked in the one-feature case, which SQL can solve, and trees and boosted trees on
+month and weekday, whose boxes SQL can grow level by level over the 84 cells."""
 
 from __future__ import annotations
 
@@ -91,6 +92,121 @@ def _(spark, sf):
     return tried.join(test.select(F.col("rmse").alias("test_rmse"), F.lit(depth).alias("depth")), "depth", "left")
 
 
+BOXED = ["month", "weekday"]
+
+
+def boxed_rows(spark, sf):
+    return I.split(spark, sf).withColumns({"month": F.month("date"), "weekday": F.dayofweek("date")})
+
+
+_BOXED = I.with_(I.DAILY, I.SPLIT) + """, base AS MATERIALIZED (SELECT *, month(date) AS m, dayofweek(date) + 1 AS w FROM split),
+    grid AS (SELECT m, w FROM range(1, 13) AS a(m), range(1, 8) AS b(w)),
+    cuts AS (SELECT 'm' AS f, c FROM range(1, 12) AS a(c) UNION ALL SELECT 'w', c FROM range(1, 7) AS b(c)),
+    """
+
+
+def _cells(where: str) -> str:
+    """Rows and label sums of the training rows in each cell."""
+    return f"""(SELECT m, w, coalesce(n, 0) AS n, coalesce(s, 0) AS s FROM grid LEFT JOIN
+      (SELECT m, w, count(*) AS n, sum(aqi) AS s FROM base WHERE split = 'train' AND {where} GROUP BY m, w) USING (m, w))"""
+
+
+def _grown(name: str, cells: str, depth: int, least: int) -> list[str]:
+    """CTEs of a least-squares tree on ``cells(m, w, n, s)``: splits ``_b0 ..`` and the mean of every box of every level, ``_v``."""
+    box = "m > m0 AND m <= m1 AND w > w0 AND w <= w1"
+    left = "FILTER (WHERE CASE f WHEN 'm' THEN m <= c ELSE w <= c END)"
+    ctes = [f"{name}_n0 AS (SELECT 0 AS m0, 12 AS m1, 0 AS w0, 7 AS w1)"]
+    for k in range(depth):
+        ctes += [
+            f"""{name}_c{k} AS (SELECT m0, m1, w0, w1, f, c, sum(n) AS n, sum(s) AS s, sum(n) {left} AS nl, sum(s) {left} AS sl FROM {name}_n{k}
+              JOIN cuts ON (f = 'm' AND c > m0 AND c < m1) OR (f = 'w' AND c > w0 AND c < w1) JOIN {cells} ON {box} GROUP BY m0, m1, w0, w1, f, c)""",
+            f"""{name}_b{k} AS MATERIALIZED (SELECT m0, m1, w0, w1, arg_max({{'f': f, 'c': c}}, gain) AS cut, max(gain) AS gain FROM
+              (SELECT *, sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n AS gain FROM {name}_c{k} WHERE nl >= {least} AND n - nl >= {least})
+              WHERE gain > 1e-9 GROUP BY m0, m1, w0, w1)""",
+            f"""{name}_n{k + 1} AS MATERIALIZED (SELECT m0, CASE cut.f WHEN 'm' THEN cut.c ELSE m1 END AS m1, w0, CASE cut.f WHEN 'w' THEN cut.c ELSE w1 END AS w1
+              FROM {name}_b{k} UNION ALL SELECT CASE cut.f WHEN 'm' THEN cut.c ELSE m0 END, m1, CASE cut.f WHEN 'w' THEN cut.c ELSE w0 END, w1 FROM {name}_b{k})""",
+        ]
+    boxes = " UNION ALL ".join(f"SELECT {k} AS level, * FROM {name}_n{k}" for k in range(depth + 1))
+    return [*ctes, f"{name}_v AS MATERIALIZED (SELECT level, m0, m1, w0, w1, sum(s) / sum(n) AS value FROM ({boxes}) JOIN {cells} ON {box} GROUP BY level, m0, m1, w0, w1)"]
+
+
+def _boosted(where: str, rounds: int, depth: int, least: int, step: float) -> str:
+    """CTEs ``r1 .. rk``: cells with their rows, label sums and the forecast ``v`` of the first k trees."""
+    ctes = [f"t1 AS MATERIALIZED {_cells(where)}"]
+    for k in range(1, rounds + 1):
+        ctes += _grown(f"g{k}", f"t{k}", depth, least)
+        before, weight = (f"r{k - 1}", step) if k > 1 else ("(SELECT m, w, n, s, 0.0::DOUBLE AS v FROM t1)", 1.0)
+        ctes.append(
+            f"""r{k} AS MATERIALIZED (SELECT p.m, p.w, p.n, p.s, any_value(p.v) + {weight}::DOUBLE * arg_max(value, level) AS v FROM {before} p
+              JOIN g{k}_v ON p.m > m0 AND p.m <= m1 AND p.w > w0 AND p.w <= w1 GROUP BY p.m, p.w, p.n, p.s)"""
+        )
+        ctes.append(f"t{k + 1} AS MATERIALIZED (SELECT m, w, n, 2 * (s - n * v) AS s FROM r{k})")  # the negative gradient of the squared error
+    return ", ".join(ctes)
+
+
+@check(
+    "m6_tree_depths_on_calendar",
+    _BOXED
+    + f"t AS MATERIALIZED {_cells('true')}, "
+    + ", ".join(_grown("g", "t", 3, 5))
+    + """, p AS (SELECT depth, station, date, aqi, arg_max(value, level) AS value FROM base, range(1, 4) AS d(depth), g_v
+      WHERE split = 'val' AND m > m0 AND m <= m1 AND w > w0 AND w <= w1 AND level <= depth GROUP BY depth, station, date, aqi),
+    e AS (SELECT depth, sqrt(avg((aqi - value) * (aqi - value))) AS val_rmse FROM p GROUP BY depth)
+    SELECT CAST(depth AS INTEGER) AS depth, round(val_rmse, 6) AS val_rmse, val_rmse = min(val_rmse) OVER () AS chosen FROM e""",
+)
+def _(spark, sf):
+    rows = boxed_rows(spark, sf)
+    depth, _, trace = training.tune_tree(rows.where("split = 'train'"), rows.where("split = 'val'"), BOXED, (1, 2, 3))
+    tried = spark.createDataFrame([(d, r, d == depth) for d, r in trace], "depth int, val_rmse double, chosen boolean")
+    return I.rounded(tried, ["val_rmse"])
+
+
+@check(
+    "m8_boosting_on_calendar",
+    _BOXED + _boosted("true", 4, 2, 10, 0.05) + " SELECT station, date, round(v, 6) AS prediction FROM base JOIN r4 USING (m, w)",
+)
+def _(spark, sf):
+    rows = boxed_rows(spark, sf)
+    whole = {"subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    model = training.boosting_model(rows.where("split = 'train'"), BOXED, maxIter=4, maxDepth=2, **whole)
+    return I.rounded(model.transform(rows).select("station", "date", "prediction"), ["prediction"])
+
+
+@check(
+    "m9_stopping_on_calendar",
+    _BOXED
+    + _boosted("day(date) % 10 <> 3", 6, 2, 20, 0.5)
+    + ", e AS ("
+    + " UNION ALL ".join(
+        f"SELECT {k} AS trees, avg((aqi - v) * (aqi - v)) AS mse FROM base JOIN r{k} USING (m, w) WHERE split = 'train' AND day(date) % 10 = 3" for k in range(1, 7)
+    )
+    + ") SELECT CAST(trees AS INTEGER) AS trees, round(mse, 6) AS held_mse, trees = arg_min(trees, mse) OVER () AS kept FROM e",
+)
+def _(spark, sf):
+    """Held-out error of each prefix of the ensemble, and the round that is kept."""
+    train = boxed_rows(spark, sf).where("split = 'train'")
+    held = F.dayofmonth("date") % 10 == 3
+    stopped = training.stopped_boosting(train, BOXED, held=held, first=6, maxIter=6, maxDepth=2, stepSize=0.5)
+    rows = [(k + 1, e, k + 1 == stopped.rounds) for k, e in enumerate(stopped.curve)]
+    return I.rounded(spark.createDataFrame(rows, "trees int, held_mse double, kept boolean"), ["held_mse"])
+
+
+@check(
+    "m11_importance_on_calendar",
+    _BOXED
+    + f"t AS MATERIALIZED {_cells('true')}, "
+    + ", ".join(_grown("g", "t", 3, 5))
+    + ", b AS ("
+    + " UNION ALL ".join(f"SELECT cut.f AS f, gain FROM g_b{k}" for k in range(3))
+    + """) SELECT feature, round(coalesce(100 * sum(gain) / sum(sum(gain)) OVER (), 0), 6) AS importance
+    FROM (VALUES ('month', 'm'), ('weekday', 'w')) AS x(feature, f) LEFT JOIN b USING (f) GROUP BY feature""",
+)
+def _(spark, sf):
+    train = boxed_rows(spark, sf).where("split = 'train'")
+    model = training.tree_model(train, BOXED, 3)
+    return I.rounded(training.importance(model, BOXED, train).select("feature", "importance"), ["importance"])
+
+
 _FITTED: dict[tuple[str, str, str], object] = {}
 
 

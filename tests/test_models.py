@@ -332,3 +332,14 @@ def test_what_if_feeds_predictions_back(spark):
         lag = float(np.clip(round(lr.coefficients[0] * lag + lr.coefficients[1] * 3.0 + lr.intercept, 1), 15, 500))
         expected.append(int(lag))
     assert got == expected
+
+
+def test_boosting_stops_on_given_rows(spark):
+    """Rows marked as held out, and only these, choose the round; an unknown mark counts as a training row."""
+    rows = [(k, float(k % 7), float(k % 5), float(3 * (k % 7) + (k * 37) % 11)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k long, a double, b double, aqi double")
+    held = F.when(F.col("k") % 10 == 0, F.lit(True)).when(F.col("k") % 2 == 0, F.lit(False))
+    stopped = training.stopped_boosting(df, ["a", "b"], held=held, maxIter=4, first=2, maxDepth=2, stepSize=0.5)
+    assert len(stopped.curve) == 4 and stopped.rounds == 1 + min(range(4), key=lambda i: (stopped.curve[i], i))
+    out = stopped.model.transform(df.where("k % 10 = 0")).agg(F.avg((F.col("aqi") - F.col("prediction")) ** 2).alias("e")).first()["e"]
+    assert abs(out - stopped.curve[stopped.rounds - 1]) < 1e-9
