@@ -82,6 +82,26 @@ def _(spark, sf):
     return tried.join(test.select(F.col("rmse").alias("test_rmse"), F.lit(alpha).alias("alpha")), "alpha", "left")
 
 
+@check(
+    "m4_ridge_alpha_search_one_feature",
+    _ONE
+    + f""", p AS (SELECT alpha, split, aqi, my + (n * c / (n + alpha)) * (pm10 - mx) / sx AS prediction
+      FROM split, s, (SELECT unnest([{", ".join(f"{a}::DOUBLE" for a in training.ALPHAS)}]) AS alpha)),
+    e AS (SELECT alpha, sqrt(avg((aqi - prediction) * (aqi - prediction)) FILTER (WHERE split = 'val')) AS val_rmse,
+      sqrt(avg((aqi - prediction) * (aqi - prediction)) FILTER (WHERE split = 'test')) AS test_rmse FROM p GROUP BY alpha),
+    b AS (SELECT *, alpha = arg_min(alpha, val_rmse) OVER () AS chosen FROM e)
+    SELECT alpha, round(val_rmse, 5) AS val_rmse, chosen, CASE WHEN chosen THEN round(test_rmse, 5) END AS test_rmse FROM b""",
+)
+def _(spark, sf):
+    """Every penalty of the grid with its validation error, and the test error of the chosen one."""
+    rows = I.split(spark, sf)
+    alpha, model, trace = training.tune_ridge(rows.where("split = 'train'"), rows.where("split = 'val'"), ["pm10"])
+    tried = spark.createDataFrame([(a, r, a == alpha) for a, r in trace], "alpha double, val_rmse double, chosen boolean")
+    test = scores.regression_scores(training.score({"ridge": model}, rows)).where("split = 'test' AND station = 'Combined'")
+    found = tried.join(test.select(F.col("rmse").alias("test_rmse"), F.lit(alpha).alias("alpha")), "alpha", "left")
+    return I.rounded(found, ["val_rmse", "test_rmse"], 5)
+
+
 @check("m6_decision_tree_depth_search")
 def _(spark, sf):
     rows = model_rows(spark, sf)
