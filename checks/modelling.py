@@ -301,6 +301,53 @@ def _(spark, sf):
     return ranked.join(gap.select("model", "overfit_gap"), "model")
 
 
+_SIX = {
+    "linear": "SELECT *, my + c * (pm10 - mx) / sx AS prediction FROM q, line",
+    "ridge_100": "SELECT *, my + (n * c / (n + 100.0::DOUBLE)) * (pm10 - mx) / sx AS prediction FROM q, line",
+    "tree_3": "SELECT *, v AS prediction FROM q JOIN leaf USING (m, w)",
+    "boosting": "SELECT *, v AS prediction FROM q JOIN r4 USING (m, w)",
+    "persistence_1": "SELECT *, one AS prediction FROM q",
+    "persistence_7": "SELECT *, seven AS prediction FROM q",
+}
+
+
+@check(
+    "m10_six_models_compared",
+    _BOXED
+    + f"t AS MATERIALIZED {_cells('true')}, "
+    + ", ".join(_grown("g", "t", 3, 5))
+    + ", "
+    + _boosted("true", 4, 2, 10, 0.05)
+    + """, line AS (SELECT avg(pm10) AS mx, stddev_pop(pm10) AS sx, avg(aqi) AS my, count(*) AS n, covar_pop(pm10, aqi) / stddev_pop(pm10) AS c
+      FROM base WHERE split = 'train'),
+    leaf AS (SELECT grid.m, grid.w, arg_max(value, level) AS v FROM grid JOIN g_v ON grid.m > m0 AND grid.m <= m1 AND grid.w > w0 AND grid.w <= w1
+      GROUP BY grid.m, grid.w),
+    q AS (SELECT * FROM (SELECT *, lag(aqi, 1) OVER x AS one, lag(aqi, 7) OVER x AS seven FROM base WINDOW x AS (PARTITION BY station ORDER BY date))
+      WHERE seven IS NOT NULL),
+    p AS ("""
+    + " UNION ALL ".join(f"SELECT '{name}' AS model, split, station, aqi, prediction FROM ({sql})" for name, sql in _SIX.items())
+    + f"""), e AS (SELECT model, split, coalesce(station, 'Combined') AS station, {SCORE_SQL} FROM p GROUP BY GROUPING SETS ((model, split, station), (model, split))),
+    o AS (SELECT model, max(rmse) FILTER (split = 'train') - max(rmse) FILTER (split = 'val') AS gap FROM e WHERE station = 'Combined' GROUP BY model)
+    SELECT model, split, station, n, rmse, mae, r2, row_number() OVER (PARTITION BY split, station ORDER BY rmse, model)::INTEGER AS rank,
+      round(gap, 4) AS overfit_gap FROM e JOIN o USING (model)""",
+)
+def _(spark, sf):
+    """Scores by split and station, rank and overfit gap of two linear models, a tree, boosted trees and two persistence forecasts."""
+    rows = boxed_rows(spark, sf)
+    train = rows.where("split = 'train'")
+    models = {
+        "linear": training.linear_model(train, ["pm10"]),
+        "ridge_100": training.ridge_model(train, ["pm10"], 100.0),
+        "tree_3": training.tree_model(train, BOXED, 3),
+        "boosting": training.boosting_model(train, BOXED, maxIter=4, maxDepth=2, subsamplingRate=1.0, featureSubsetStrategy="all"),
+    }
+    lagged = cut_lineage(history.add_lags(rows, ["aqi"], training.PERSISTENCE_LAGS, I.timeline()).where("lag_aqi_7 IS NOT NULL"))
+    scored = training.score(models, lagged).unionByName(training.persistence(lagged))
+    found = I.rounded(scores.regression_scores(scored), list(scores.SCORES), 5)
+    gap = I.rounded(scores.overfit_gap(found), ["overfit_gap"], 4).select("model", "overfit_gap")
+    return scores.rank_models(found).join(gap, "model").select("model", "split", "station", "n", "rmse", "mae", "r2", "rank", "overfit_gap")
+
+
 @check(
     "m10_persistence_scores",
     I.with_(I.DAILY, I.SPLIT)
