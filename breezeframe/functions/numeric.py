@@ -28,6 +28,29 @@ def sample_skewness(x: Column) -> Column:
     return F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+def constant_in_pairs(x: Column | str, y: Column | str) -> Column:
+    """Aggregate: at least two pairs are known and ``x`` has one value in all of them."""
+    known = _in_pairs(x, y)
+    return (F.count(known) > 1) & (F.var_pop(known) == 0.0)
+
+
+def _in_pairs(x: Column | str, y: Column | str) -> Column:
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.when(y.isNotNull(), x)
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation over the known pairs: NaN if a side is constant (``F.corr`` fails there), null below two pairs."""
+    a, b = _in_pairs(x, y), _in_pairs(y, x)
+    spread = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(F.count(F.when(b.isNotNull(), a)) < 2, None).when(spread == 0.0, float("nan")).otherwise(F.covar_pop(a, b) / spread)
+
+
+def slope(y: Column | str, x: Column | str) -> Column:
+    """Least-squares slope of ``y`` on ``x``; NaN if ``x`` is constant, null below two pairs."""
+    return F.when(constant_in_pairs(x, y), float("nan")).otherwise(F.regr_slope(y, x))
+
+
 def zscore(x: Column, mean: Column, std: Column) -> Column:
     return (x - mean) / std
 

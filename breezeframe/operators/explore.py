@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..core.quantiles import quantiles
 from ..functions.air import main_pollutant, risk_class
 from ..functions.calendar import month_name, season
-from ..functions.numeric import clamp, sample_skewness
+from ..functions.numeric import clamp, correlation, sample_skewness
 from .spine import DEFAULT_MONTH_AQI
 
 # --- Fixed values: means of seasons without readings -------------------------
@@ -126,7 +126,7 @@ def pearson(df: DataFrame, columns: Sequence[str], by_station: bool = False) ->
     full = df.dropna(subset=list(columns))
     pairs = list(combinations(columns, 2))
     aggs = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.corr(a, b).alias("r")) for a, b in pairs
+        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), correlation(a, b).alias("r")) for a, b in pairs
     ]
     keys = ["station"] if by_station else []
     packed = full.groupBy(*keys).agg(F.array(*aggs).alias("_p"))
@@ -155,7 +155,7 @@ def correlations(
     aggs = [
         F.struct(
             F.lit(f).alias("feature"),
-            F.corr(target, f).alias("r"),
+            correlation(target, f).alias("r"),
             F.count(F.when(F.col(target).isNotNull() & F.col(f).isNotNull(), 1)).alias("n"),
         )
         for f in features
@@ -220,7 +220,7 @@ def summary_facts(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         "first_year": F.min(F.year("date")).cast("double"),
         "last_year": F.max(F.year("date")).cast("double"),
     }
-    facts |= {f"r_{a}_{b}": F.corr(a, b) for a, b in pairs}
+    facts |= {f"r_{a}_{b}": correlation(a, b) for a, b in pairs}
     wide = df.agg(*[v.alias(k) for k, v in facts.items()])
     return wide.unpivot([], list(facts), "metric", "value")
 
