@@ -48,7 +48,8 @@ def station_contrast(rolled: DataFrame, a: str, b: str) -> DataFrame:
     wide = per.groupBy("feature").agg(
         F.max(F.when(F.col("member") == a, F.col("mean_abs"))).alias("first"),
         F.max(F.when(F.col("member") == b, F.col("mean_abs"))).alias("second"),
-        F.max_by("member", F.col("mean_abs")).alias("dominant"),
+        # Of equal means the second station's counts, as a difference of zero does not favour the first.
+        F.max_by("member", F.when(F.col("mean_abs").isNotNull(), F.struct("mean_abs", F.col("member") == b))).alias("dominant"),
     )
     return wide.withColumn("difference", F.col("first") - F.col("second"))
 
@@ -56,7 +57,8 @@ def station_contrast(rolled: DataFrame, a: str, b: str) -> DataFrame:
 def peak_season(rolled: DataFrame) -> DataFrame:
     per = rolled.where(F.col("scope") == "season")
     return per.groupBy("feature").agg(
-        F.max_by("member", F.col("mean_abs")).alias("peak_season"),
+        # The first by name of equal means; NaN is above all numbers, as in an ordering.
+        F.min_by("member", F.when(F.col("mean_abs").isNotNull(), F.struct(F.when(F.isnan("mean_abs"), float("-inf")).otherwise(-F.col("mean_abs")), "member"))).alias("peak_season"),
         F.max("mean_abs").alias("peak_mean_abs"),
     )
 

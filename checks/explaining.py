@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from breezeframe.functions.calendar import season
 from breezeframe.functions.air import HORIZONS
+from breezeframe.functions.numeric import correlation, slope
 from breezeframe.operators import attribution, history
 from breezeframe.plans import explain, scenario, training
 
@@ -30,9 +31,9 @@ def _fits(spark, sf):
         F.struct(
             F.lit(c).alias("feature"),
             # Rounded in both engines before anything is ranked by them.
-            F.round(F.regr_slope("aqi", c), 9).alias("a"),
+            F.round(slope("aqi", c), 9).alias("a"),
             F.round(F.avg(c), 9).alias("m"),
-            F.abs(F.corr("aqi", c)).alias("importance"),
+            F.abs(correlation("aqi", c)).alias("importance"),
         )
         for c in _X
     ]

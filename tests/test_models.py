@@ -10,7 +10,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from breezeframe.core.timeline import Timeline
-from breezeframe.operators import attribution
+from breezeframe.functions.numeric import correlation, slope
+from breezeframe.operators import attribution, explore
 from breezeframe.operators.scores import overfit_gap, rank_models, regression_scores
 from breezeframe.plans import explain, scenario, training
 from breezeframe.sources.writers import load_model, save_model
@@ -343,3 +344,30 @@ def test_boosting_stops_on_given_rows(spark):
     assert len(stopped.curve) == 4 and stopped.rounds == 1 + min(range(4), key=lambda i: (stopped.curve[i], i))
     out = stopped.model.transform(df.where("k % 10 = 0")).agg(F.avg((F.col("aqi") - F.col("prediction")) ** 2).alias("e")).first()["e"]
     assert abs(out - stopped.curve[stopped.rounds - 1]) < 1e-9
+
+
+def test_correlation_of_constant_columns(spark):
+    """A constant side gives NaN in a division that would fail; one pair and none give null."""
+    data = [("flat", 5.0, float(k), float(k * k)) for k in range(12)] + [("one", 1.0, 2.0, 3.0), ("one", None, 2.0, 3.0), ("none", None, 1.0, 2.0)]
+    data += [("flat in pairs", 5.0, 1.0, 1.0), ("flat in pairs", 5.0, 2.0, 2.0), ("flat in pairs", 6.0, None, 3.0)]
+    df = spark.createDataFrame(data, "station string, x double, y double, z double")
+    got = {r["station"]: r for r in df.groupBy("station").agg(correlation("x", "y").alias("r"), correlation("y", "z").alias("s"), slope("y", "x").alias("a")).collect()}
+    flat = [r for r in data if r[0] == "flat"]
+    assert np.isnan(got["flat"]["r"]) and np.isnan(got["flat"]["a"])
+    assert got["flat"]["s"] == pytest.approx(np.corrcoef([r[2] for r in flat], [r[3] for r in flat])[0, 1])
+    assert np.isnan(got["flat in pairs"]["r"]) and np.isnan(got["flat in pairs"]["a"]) and got["flat in pairs"]["s"] == pytest.approx(1.0)
+    assert [got[s][c] for s in ("one", "none") for c in ("r", "a")] == [None] * 4
+    flat_rows = df.where("station = 'flat'")
+    matrix = {(r["x"], r["y"]): r["r"] for r in explore.pearson(flat_rows, ["x", "y", "z"], by_station=True).collect()}
+    assert np.isnan(matrix["x", "y"]) and matrix["y", "z"] == pytest.approx(got["flat"]["s"]) and matrix["x", "x"] == 1.0
+    assert np.isnan(explore.correlations(flat_rows, ["x"], "y").first()["pearson_r"])
+
+
+def test_roll_ups_of_undefined_attributions(spark):
+    """Equal and NaN means: the second station is dominant, as in a comparison with ``>``."""
+    rolled = [("f", "station", "a", float("nan")), ("f", "station", "b", float("nan")), ("g", "station", "b", 1.0), ("g", "station", "a", 1.0), ("h", "station", "a", 2.0), ("h", "station", "b", None)]
+    wide = attribution.station_contrast(spark.createDataFrame(rolled, "feature string, scope string, member string, mean_abs double"), "a", "b")
+    assert {r["feature"]: r["dominant"] for r in wide.collect()} == {"f": "b", "g": "b", "h": "a"}
+    seasons = [("f", "season", s, float("nan")) for s in ("Winter", "Spring", "Summer")] + [("g", "season", "Winter", 1.0), ("g", "season", "Spring", 2.0), ("g", "season", "Summer", 2.0), ("g", "season", "Monsoon", None)]
+    peaks = attribution.peak_season(spark.createDataFrame(seasons, "feature string, scope string, member string, mean_abs double"))
+    assert {r["feature"]: r["peak_season"] for r in peaks.collect()} == {"f": "Spring", "g": "Spring"}
