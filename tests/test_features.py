@@ -156,6 +156,40 @@ def test_distance_weights_in_blocks_equal_all_pairs(spark):
     assert spatial.station_weights(targets, anchors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("slots", "sizes"), [(8, 5), (8, 60), (3, 8)])
+def test_blend_equals_all_pairs(spark, slots, sizes):
+    """One set of anchors and many; weights and readings that come twice, gaps, moments without anchors, null keys."""
+    import random
+
+    rng = random.Random(sizes)
+    weights = [(f"t{t}", f"a{a}", rng.choice([0.0, rng.random()])) for t in range(7) for a in range(sizes)] + [("t0", "a1", 0.5), (None, "a2", 0.25), ("t9", None, 1.0), ("alone", "gone", 1.0)]
+    readings = [(f"a{a}", d, rng.choice([None, rng.random()]), rng.random()) for d in range(4) for a in range(sizes)] + [("a1", 2, 0.5, None), ("a2", None, 3.0, None), ("other", 77, 1.0, 1.0), (None, 3, 1.0, 1.0), ("a1", 88, None, 2.0)]
+    w = spark.createDataFrame(weights, "target string, station string, weight double")
+    r = spark.createDataFrame(readings, "station string, date int, x double, y double")
+    want = {}
+    for t, a, g in weights:
+        for s, d, x, y in readings:
+            if g > 0 and a is not None and a == s:
+                found = want.setdefault((t, d), [0.0] * 4)
+                for k, v in ((0, x), (2, y)):
+                    found[k] += g * (v or 0.0)
+                    found[k + 1] += g * (v is not None)
+    got = [tuple(v) for v in spatial.blend(w, r, ["x", "y"], slots=slots).collect()]
+    assert len(got) == len(want) and {v[:2] for v in got} == set(want)
+    for t, d, x, y in got:
+        sx, nx, sy, ny = want[t, d]
+        assert (x, y) == (pytest.approx(sx / nx) if nx else None, pytest.approx(sy / ny) if ny else None)
+    assert spatial.blend(w.limit(0), r, ["x", "y"]).count() == 0
+
+
+def test_blend_does_not_multiply_by_anchors(spark):
+    """Every target meets every moment once, not once for each anchor."""
+    w = spark.range(3000).selectExpr("concat('t', id div 5) as target", "concat('a', id % 5) as station", "0.5 as weight")
+    r = spark.range(500).selectExpr("concat('a', id % 5) as station", "cast(id div 5 as int) as date", "cast(id as double) as x")
+    plan = spatial.blend(w, r, ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_last_rows_by_either_way(spark):
     df = spark.createDataFrame([(f"s{k % 3}", START + dt.timedelta(hours=k), float(k)) for k in range(300)], "station string, date timestamp_ntz, x double")
     few, many = (history.last_numbered(df, 5, TL), history.last_numbered(df, history.GROUP_LIMIT + 1, TL))
