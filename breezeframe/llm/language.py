@@ -7,8 +7,8 @@ probabilities, by the forward algorithm; a text's is the product over its words.
 equal prior weights.
 
 Piece probabilities are learnt by expectation and maximisation over the word counts of all training rows, with
-expected counts of pieces from forward and backward sums. Words longer than ``TAUGHT`` bytes are not learnt from, but are scored in
-full. ``MIXED`` of each language's probability is the pooled one, ``FLOOR`` of that is uniform. The table that tasks get
+expected counts of pieces from forward and backward sums. Words of any length are learnt from; those longer than ``SHORT`` bytes
+take part by themselves, with sums that are scaled on the way. ``MIXED`` of each language's probability is the pooled one, ``FLOOR`` of that is uniform. The table that tasks get
 has one number for each piece of at most ``LONGEST`` bytes and each language; more than ``LANGUAGES`` languages are an error, so its size is bounded.
 
 Null texts and texts without letters are ``und`` with score 0, as is everything when there is no training row.
@@ -36,7 +36,7 @@ from breezeframe.core.shared import materialise
 from .wordbytes import mix
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LONGEST, TAUGHT = 24, 48
+LONGEST, SHORT = 24, 48
 ROUNDS = 3
 MIXED, FLOOR = 0.01, 0.1
 LANGUAGES = 256
@@ -160,24 +160,47 @@ def expected_counts(words: list[bytes], weight: np.ndarray, language: np.ndarray
     gained = table * GAIN ** np.append(known.sizes, 0)[:, None]
     longest = int(held.sizes[0])
     places, ways = {}, [np.ones(len(words))]
+    # Logarithms of what the sums at a place were divided by, for the places that were; one array for all places of a step.
+    shifts, shift = {}, np.zeros(len(words))
+
+    def ending(t: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        at = known.find(held.hashes(t, size))
+        hit = np.flatnonzero(at < v)
+        return hit, at[hit]
+
     for t in range(1, longest + 1):
         n = held.reaching(t)
         now = np.zeros(n)
         for size in range(1, min(t, known.longest) + 1):
-            at = known.find(held.hashes(t, size))
-            hit = np.flatnonzero(at < v)
+            hit, at = ending(t, size)
             if len(hit):
-                places[t, size] = hit, at[hit]
-                now[hit] += ways[t - size][hit] * gained[at[hit], language[hit]]
+                if t <= SHORT:  # found again on the way back in longer words, whose places would fill the memory
+                    places[t, size] = hit, at
+                now[hit] += ways[t - size][hit] * gained[at, language[hit]]
         ways.append(now)
-    after = [np.zeros(len(w)) for w in ways]
+        if shifts:
+            shifts[t] = shift[:n].copy()
+        far = np.flatnonzero((now < 1e-60) | (now > 1e60)) if t % 16 == 0 else ()
+        if len(far):  # keep sums near one; all places of a word still in use are scaled alike
+            by = now[far].copy()
+            for u in range(max(0, t - known.longest + 1), t + 1):
+                shifts[u] = shifts[u] if u in shifts else np.zeros(len(ways[u]))
+                ways[u][far] /= by
+                shifts[u][far] += np.log(by)
+            shift[far] += np.log(by)
+    after = {longest: np.zeros(len(ways[longest]))}
     for t in range(longest, 0, -1):
         ended = slice(held.reaching(t + 1), held.reaching(t))
-        after[t][ended] = weight[ended] / ways[t][ended]  # the backward sum starts at the word's weight over its probability
+        now = after.pop(t, np.zeros(len(ways[t])))
+        now[ended] = weight[ended] / ways[t][ended]  # the backward sum starts at the word's weight over its probability
         for size in range(1, min(t, known.longest) + 1):
-            if (t, size) in places:
-                hit, at = places[t, size]
-                back = after[t][hit] * gained[at, language[hit]]
+            hit, at = ending(t, size) if t > SHORT else places.get((t, size), ((), ()))
+            if len(hit):
+                back = now[hit] * gained[at, language[hit]]
+                if t in shifts:
+                    back *= np.exp((shifts[t - size][hit] if t - size in shifts else 0.0) - shifts[t][hit])
+                if t - size not in after:
+                    after[t - size] = np.zeros(len(ways[t - size]))
                 after[t - size][hit] += back
                 np.add.at(counts, (at, language[hit]), back * ways[t - size][hit])
     return counts
@@ -228,9 +251,10 @@ def _expect(number: dict[str, int], known: Pieces, table: np.ndarray, batches: I
     for batch in batches:
         words = [b" " + w.encode() for w in batch.column(1).to_pylist()]
         language = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
-        taught = np.array([len(w) <= TAUGHT for w in words], dtype=bool)
-        weight = batch.column(2).to_numpy()[taught].astype(float)
-        counts += expected_counts([w for w, k in zip(words, taught, strict=True) if k], weight, language[taught], known, table)
+        weight = batch.column(2).to_numpy().astype(float)
+        short = np.array([len(w) <= SHORT for w in words], dtype=bool)
+        for part in (short, ~short):
+            counts += expected_counts([w for w, k in zip(words, part, strict=True) if k], weight[part], language[part], known, table)
     at, language = np.nonzero(counts)
     columns = [pa.array(at.astype(np.int32)), pa.array(language.astype(np.int32)), pa.array(counts[at, language])]
     yield pa.RecordBatch.from_arrays(columns, names=["at", "language", "n"])

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,39 @@ def test_long_words_do_not_underflow(small_pieces):
     assert np.isclose(language.log_marginals([b"x" * 5000], known, table)[0, 0], 5000 * math.log(1e-9))
 
 
+def test_long_words_are_learnt_from(small_pieces):
+    """Words beyond every stop are counted in full: sums far below and far above one, alone and beside short words."""
+    known, place = small_pieces
+    words = [b"x" * 700, b"the" * 40, "théth".encode() * 30, b" the", b"th" + b"x" * 60]
+    language_of, weight = np.array([0, 1, 0, 1, 1]), np.array([2.0, 1, 3, 1, 5])
+    for low in (1e-9, 0.04, 0.9):
+        p = np.random.default_rng(4).uniform(0.5, 1, (len(known.hashes), 2)) * low
+        table = np.vstack([p, np.zeros(2)])
+        got = language.expected_counts(words, weight, language_of, known, table)
+        want = np.zeros(table.shape)
+        for w, n, k in zip(words, weight, language_of, strict=True):
+            spans = [(t - len(b), t, at) for b, at in place.items() for t in range(len(b), len(w) + 1) if w[t - len(b) : t] == b]
+            q = [math.log(p[at, k]) for _, _, at in spans]
+            fore, back = [-math.inf] * (len(w) + 1), [-math.inf] * (len(w) + 1)
+            fore[0] = back[-1] = 0.0
+            for (a, b, _), g in sorted(zip(spans, q, strict=True), key=lambda s: s[0][1]):
+                fore[b] = np.logaddexp(fore[b], fore[a] + g)
+            for (a, b, _), g in sorted(zip(spans, q, strict=True), key=lambda s: -s[0][0]):
+                back[a] = np.logaddexp(back[a], back[b] + g)
+            for (a, b, at), g in zip(spans, q, strict=True):
+                want[at, k] += n * math.exp(fore[a] + g + back[b] - fore[-1])
+        assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-8, atol=1e-10)
+
+
+def test_fit_reads_words_of_every_length(small_pieces):
+    known, _ = small_pieces
+    table = np.vstack([np.full((len(known.hashes), 1), 0.1), np.zeros((1, 1))])
+    batch = pa.RecordBatch.from_pydict({"lang": ["a", "a"], "word": ["x" * 300, "the"], "n": [2, 1]})
+    (found,) = language._expect({"a": 0}, known, table, [batch])
+    by_piece = dict(zip(found["at"].to_pylist(), found["n"].to_pylist(), strict=True))
+    assert by_piece[int(known.find(language.Words([b"x"]).hashes(1, 1))[0])] > 590
+
+
 TEXTS = "doc_id long, text string, lang string, word string, n long"
 
 
