@@ -25,8 +25,8 @@ phi AS (SELECT station, date, season, feature, a * (x - m) AS phi FROM wide JOIN
 _BASE = I.with_(I.DAILY, I.SPLIT, _PHI)
 
 
-def _fits(spark, sf):
-    train = I.split(spark, sf).where("split = 'train'")
+def _fits(split):
+    train = split.where("split = 'train'")
     entries = [
         F.struct(
             F.lit(c).alias("feature"),
@@ -40,10 +40,10 @@ def _fits(spark, sf):
     return train.agg(F.array(*entries).alias("f"))
 
 
-def phi(spark, sf):
-    fits = _fits(spark, sf).scalar()
+def phi(split):
+    fits = _fits(split).scalar()
     values = F.array(*[F.col(c) for c in _X])
-    rows = I.split(spark, sf).select(
+    rows = split.select(
         "station",
         "date",
         season(F.month("date")).alias("season"),
@@ -56,8 +56,8 @@ def phi(spark, sf):
     )
 
 
-def _fit_rows(spark, sf):
-    return _fits(spark, sf).select(F.explode("f").alias("f")).select("f.*")
+def _fit_rows(split):
+    return _fits(split).select(F.explode("f").alias("f")).select("f.*")
 
 
 _ROLLED = """, rolled AS (
@@ -72,7 +72,7 @@ _ROLLED = """, rolled AS (
     _BASE + _ROLLED + "SELECT feature, scope, member, round(mean_abs, 6) AS mean_abs, round(mean_phi, 6) AS mean_phi FROM rolled",
 )
 def _(spark, sf):
-    return I.rounded(attribution.roll_up(phi(spark, sf)), ["mean_abs", "mean_phi"])
+    return I.rounded(attribution.roll_up(phi(I.split(spark, sf))), ["mean_abs", "mean_phi"])
 
 
 @check(
@@ -85,7 +85,7 @@ def _(spark, sf):
       CASE WHEN first > second THEN '1-URGENT' ELSE '2-HIGH' END AS dominant FROM w""",
 )
 def _(spark, sf):
-    out = attribution.station_contrast(attribution.roll_up(phi(spark, sf)), "1-URGENT", "2-HIGH")
+    out = attribution.station_contrast(attribution.roll_up(phi(I.split(spark, sf))), "1-URGENT", "2-HIGH")
     return I.rounded(out, ["first", "second", "difference"])
 
 
@@ -97,7 +97,7 @@ def _(spark, sf):
     SELECT feature, member AS peak_season, round(mean_abs, 6) AS peak_mean_abs FROM r WHERE rn = 1""",
 )
 def _(spark, sf):
-    return I.rounded(attribution.peak_season(attribution.roll_up(phi(spark, sf))), ["peak_mean_abs"])
+    return I.rounded(attribution.peak_season(attribution.roll_up(phi(I.split(spark, sf)))), ["peak_mean_abs"])
 
 
 _SCORED = _ROLLED + """, scored AS (SELECT r.feature, r.mean_abs, f.importance FROM rolled r JOIN fits f USING (feature) WHERE scope = 'all'),
@@ -106,8 +106,9 @@ span AS (SELECT min(mean_abs) AS l1, max(mean_abs) AS h1, min(importance) AS l2,
 
 
 def _scored(spark, sf):
-    overall = attribution.roll_up(phi(spark, sf)).where("scope = 'all'").select("feature", "mean_abs")
-    return overall.join(_fit_rows(spark, sf).select("feature", "importance"), "feature")
+    split = I.split(spark, sf)
+    overall = attribution.roll_up(phi(split)).where("scope = 'all'").select("feature", "mean_abs")
+    return overall.join(_fit_rows(split).select("feature", "importance"), "feature")
 
 
 @check(
@@ -148,7 +149,7 @@ def _(spark, sf):
     SELECT feature, round(importance, 6) AS importance, row_number() OVER (ORDER BY round(top.importance, 9) DESC, feature)::INTEGER AS rank FROM top""",
 )
 def _(spark, sf):
-    out = attribution.top_features(_fit_rows(spark, sf).select("feature", "importance"), "importance", 5)
+    out = attribution.top_features(_fit_rows(I.split(spark, sf)).select("feature", "importance"), "importance", 5)
     return I.rounded(out, ["importance"])
 
 
@@ -159,7 +160,7 @@ def _(spark, sf):
     SELECT feature, round(a, 6) AS coefficient, row_number() OVER (ORDER BY round(abs(top.a), 9) DESC, feature)::INTEGER AS rank FROM top""",
 )
 def _(spark, sf):
-    rows = _fit_rows(spark, sf).select("feature", F.col("a").alias("coefficient"))
+    rows = _fit_rows(I.split(spark, sf)).select("feature", F.col("a").alias("coefficient"))
     return I.rounded(attribution.top_features(rows, "coefficient", 4, absolute=True), ["coefficient"])
 
 
@@ -171,7 +172,7 @@ def _(spark, sf):
     GROUP BY station, date, CASE WHEN rn <= 4 THEN feature ELSE 'other' END""",
 )
 def _(spark, sf):
-    return I.rounded(attribution.waterfall(phi(spark, sf), ["station", "date"], 4), ["phi"])
+    return I.rounded(attribution.waterfall(phi(I.split(spark, sf)), ["station", "date"], 4), ["phi"])
 
 
 @check(
@@ -183,7 +184,7 @@ def _(spark, sf):
     FROM r WHERE fixed OR (rn <= 3 AND abs(phi) > 0.5)""",
 )
 def _(spark, sf):
-    return I.rounded(attribution.display_selection(phi(spark, sf), ["station", "date"]), ["phi"])
+    return I.rounded(attribution.display_selection(phi(I.split(spark, sf)), ["station", "date"]), ["phi"])
 
 
 _TREE_FEATURES = ["lag_aqi_1", "roll_mean_aqi_7", "pm25", "pm10", "temperature", "humidity", "sin_month", "cos_month"]
@@ -208,9 +209,9 @@ def _(spark, sf):
 
 @check("m15_recursive_forecast")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    d = I.stored_daily(spark, sf)
+    rows = model_rows(spark, sf, d)
     model = training.linear_model(rows.where("split = 'train'"), FEATURES)
-    d = I.daily(spark, sf)
     # Every reading asks for its own moment, for one decades before and one decades after, and at a place without readings.
     where = F.explode(F.array(*(F.struct(F.lit(y).alias("years"), s.alias("station")) for y, s in ((0, F.col("station")), (-40, F.col("station")), (40, F.col("station")), (0, F.lit("no such place"))))))
     requests = d.withColumn("_w", where).withColumn("o_station", F.col("station")).withColumn("station", F.col("_w.station")).select(
@@ -248,7 +249,8 @@ _PLACES = "places AS (SELECT * FROM (VALUES ('mid', 28.55::DOUBLE, 77.35::DOUBLE
     SELECT place || ' ' || CAST(day AS VARCHAR) AS request, h AS hours, round(p, 4) AS prediction FROM d WHERE h > 0""",
 )
 def _(spark, sf):
-    d, s = I.daily(spark, sf), I.split(spark, sf)
+    d = I.stored_daily(spark, sf)
+    s = I.split(spark, sf, d)
     train = history.add_lags(s, ["aqi"], [1], I.timeline()).where("split = 'train' AND lag_aqi_1 IS NOT NULL")
     model = training.linear_model(train, ["lag_aqi_1"])
     places = spark.createDataFrame([("mid", 28.55, 77.35), ("edge", 28.7, 77.2)], "place string, lat double, lon double")
@@ -267,10 +269,11 @@ def _(spark, sf):
 
 @check("m16_what_if_forecast")
 def _(spark, sf):
-    rows = model_rows(spark, sf)
+    d = I.stored_daily(spark, sf)
+    rows = model_rows(spark, sf, d)
     train = rows.where("split = 'train'")
     model = training.linear_model(train, FEATURES)
-    scenarios = I.daily(spark, sf).select(
+    scenarios = d.select(
         F.concat_ws(" ", "station", F.col("date").cast("string")).alias("scenario"),
         F.col("date").cast("timestamp_ntz").alias("at"),
         "pm25",

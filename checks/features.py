@@ -387,9 +387,11 @@ def _(spark, sf):
     return I.rounded(out.select("station", "date", "lag_aqi_30"), ["lag_aqi_30"])
 
 
-def feature_table(spark, sf):
+def feature_table(spark, sf, rows=None):
+    """All features of ``rows``, or else of the stored daily readings."""
+    rows = I.stored_daily(spark, sf) if rows is None else rows
     return plan.build_features(
-        I.daily(spark, sf), I.CODES, I.TRAIN_END, I.VAL_END, _holidays(spark, sf), timeline=I.timeline()
+        rows, I.CODES, I.TRAIN_END, I.VAL_END, _holidays(spark, sf), timeline=I.timeline()
     )
 
 

@@ -125,7 +125,7 @@ _BASE = I.with_(I.DAILY, _LINES)
 
 
 def report_lines(spark, sf):
-    d = I.daily(spark, sf)
+    d = I.stored_daily(spark, sf)
     h = d.select("station", "date", *[F.floor(F.col(c) * 100).cast("string").alias(c) for c in _HUNDREDTHS])
     day, month = F.col("date").cast("string"), F.date_format("date", "MMMM")
     first, second = F.col("station") == "1-URGENT", F.col("station") == "2-HIGH"
