@@ -371,3 +371,15 @@ def test_roll_ups_of_undefined_attributions(spark):
     seasons = [("f", "season", s, float("nan")) for s in ("Winter", "Spring", "Summer")] + [("g", "season", "Winter", 1.0), ("g", "season", "Spring", 2.0), ("g", "season", "Summer", 2.0), ("g", "season", "Monsoon", None)]
     peaks = attribution.peak_season(spark.createDataFrame(seasons, "feature string, scope string, member string, mean_abs double"))
     assert {r["feature"]: r["peak_season"] for r in peaks.collect()} == {"f": "Spring", "g": "Spring"}
+
+
+def test_readings_are_joined_once(spark, sf):
+    """What the modelling, attribution and report queries read many times is stored, not joined again."""
+    from checks import explaining, inputs, modelling, sources
+
+    split = inputs.split(spark, sf)
+    for df in (split, modelling.boxed_rows(spark, sf), explaining.phi(split), inputs.predictions(spark, sf).where("model = 'persistence_1'"), sources.report_lines(spark, sf)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in plan and "l_orderkey" not in plan
+    lazy = {tuple(r) for r in inputs.daily(spark, sf).selectExpr("station", "date", "round(aqi, 6)", "temperature").collect()}
+    assert {tuple(r) for r in split.selectExpr("station", "date", "round(aqi, 6)", "temperature").collect()} == lazy
