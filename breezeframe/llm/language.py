@@ -22,7 +22,7 @@ from __future__ import annotations
 import base64
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from typing import NamedTuple
 
 import numpy as np
@@ -48,24 +48,30 @@ UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")
 _CODES = np.random.default_rng(12).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_SLOTS = 1 << 20
+_SLOT_BITS = 20
 
 
 class Pieces(NamedTuple):
-    """Sorted hashes of the pieces, a bit table that most other strings fail, and the lengths that occur."""
+    """Sorted hashes of the pieces, by their upper bits a table that most other strings fail and the first place, and the longest."""
 
     hashes: np.ndarray
     sizes: np.ndarray
     seen: np.ndarray
+    first: np.ndarray
     longest: int
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Places of the strings with these hashes, ``len(self.hashes)`` for those that are no piece."""
         out = np.full(len(hashes), len(self.hashes), dtype=np.int32)
-        maybe = np.flatnonzero(self.seen[hashes & np.uint64(_SLOTS - 1)])
-        at = np.minimum(np.searchsorted(self.hashes, hashes[maybe]), len(self.hashes) - 1)
-        right = self.hashes[at] == hashes[maybe]
-        out[maybe[right]] = at[right]
+        slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+        maybe = np.flatnonzero(self.seen[slot])
+        at, sought = self.first[slot[maybe]], hashes[maybe]
+        while len(maybe):
+            here = self.hashes[at]
+            right = here == sought
+            out[maybe[right]] = at[right]
+            on = (here < sought) & (at < len(self.hashes) - 1)  # the pieces of a slot stand in order
+            maybe, at, sought = maybe[on], at[on] + 1, sought[on]
         return out
 
 
@@ -84,6 +90,7 @@ class Words:
             np.cumprod(powers, out=powers)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_CODES[data] * self.up[:-1], out=self.sums[1:])
+        self.end, self.upto = -1, self.sums[:0]
 
     def reaching(self, t: int) -> int:
         """How many words have at least ``t`` bytes."""
@@ -91,8 +98,10 @@ class Words:
 
     def hashes(self, t: int, size: int) -> np.ndarray:
         """Of the ``size`` bytes that end at place ``t`` of each word that reaches it."""
-        at = self.start[: self.reaching(t)] + t - size
-        return mix((self.sums[at + size] - self.sums[at]) * self.down[at] + np.uint64(size))
+        if t != self.end:  # the same for all sizes that end there
+            self.end, self.upto = t, self.sums[self.start[: self.reaching(t)] + t]
+        at = self.start[: len(self.upto)] + (t - size)
+        return mix((self.upto - self.sums[at]) * self.down[at] + np.uint64(size))
 
 
 def pieces(vocabulary: list[bytes]) -> Pieces:
@@ -107,9 +116,11 @@ def pieces(vocabulary: list[bytes]) -> Pieces:
         at = words.start[same]
         hashes[same] = mix((words.sums[at + size] - words.sums[at]) * words.down[at] + np.uint64(size))
     order = np.argsort(hashes)
-    seen = np.zeros(_SLOTS, dtype=bool)
-    seen[hashes & np.uint64(_SLOTS - 1)] = True
-    return Pieces(hashes[order], words.sizes[order].astype(np.int16), seen, int(words.sizes[0]))
+    hashes = hashes[order]
+    slot = (hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+    seen = np.bincount(slot, minlength=1 << _SLOT_BITS) > 0
+    first = np.searchsorted(slot, np.arange(1 << _SLOT_BITS)).astype(np.int32)
+    return Pieces(hashes, words.sizes[order].astype(np.int16), seen, first, int(words.sizes[0]))
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -152,9 +163,9 @@ def log_marginals(words: list[bytes], known: Pieces, table: np.ndarray) -> np.nd
 
 def expected_counts(words: list[bytes], weight: np.ndarray, language: np.ndarray, known: Pieces, table: np.ndarray) -> np.ndarray:
     """Expected count of every piece in every language over all segmentations; each word is of one language."""
-    counts = np.zeros(table.shape)
+    counts = np.zeros(table.size)
     if not words:
-        return counts
+        return counts.reshape(table.shape)
     held, v = Words(words), len(known.hashes)
     weight, language = weight[held.order], language[held.order]
     gained = table * GAIN ** np.append(known.sizes, 0)[:, None]
@@ -202,8 +213,8 @@ def expected_counts(words: list[bytes], weight: np.ndarray, language: np.ndarray
                 if t - size not in after:
                     after[t - size] = np.zeros(len(ways[t - size]))
                 after[t - size][hit] += back
-                np.add.at(counts, (at, language[hit]), back * ways[t - size][hit])
-    return counts
+                np.add.at(counts, at * table.shape[1] + language[hit], back * ways[t - size][hit])
+    return counts.reshape(table.shape)
 
 
 def normalised(counts: np.ndarray) -> np.ndarray:
@@ -249,8 +260,8 @@ def fit(rows: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) ->
 def _expect(number: dict[str, int], known: Pieces, table: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(table.shape)
     for batch in batches:
-        words = [b" " + w.encode() for w in batch.column(1).to_pylist()]
-        language = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
+        words = [b" " + w.encode() for w in batch.column(1).to_numpy(zero_copy_only=False)]
+        language = np.array([number[x] for x in batch.column(0).to_numpy(zero_copy_only=False)], dtype=np.int64)
         weight = batch.column(2).to_numpy().astype(float)
         short = np.array([len(w) <= SHORT for w in words], dtype=bool)
         for part in (short, ~short):
@@ -260,6 +271,34 @@ def _expect(number: dict[str, int], known: Pieces, table: np.ndarray, batches: I
     yield pa.RecordBatch.from_arrays(columns, names=["at", "language", "n"])
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Which code points ``LETTERS`` takes."""
+    out = np.zeros(0x110000, dtype=bool)
+    # Surrogates, which no text holds, stand as blanks.
+    for found in LETTERS.finditer("".join(" " if 0xD800 <= c < 0xE000 else chr(c) for c in range(len(out)))):
+        out[found.start() : found.end()] = True
+    return out
+
+
+def runs(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The runs of ``LETTERS`` in the lower-cased texts as places in a list of distinct ones, that list, and the runs of each text."""
+    lowered = [text.lower() for text in texts]
+    ends = np.cumsum([len(text) + 1 for text in lowered], dtype=np.int64)
+    codes = np.frombuffer("\0".join([*lowered, ""]).encode("utf-32-le"), dtype=np.uint32)  # a zero is no letter
+    inside = _letters()[codes]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    sizes = np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
+    held = codes[inside]
+    width = 1 + (held > 0x7F).astype(np.int64) + (held > 0x7FF) + (held > 0xFFFF)  # bytes in UTF-8
+    offsets = np.append((np.cumsum(width) - width)[first[inside]], width.sum())
+    data = held.tobytes().decode("utf-32-le").encode()
+    words = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    found = words.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary.to_numpy(zero_copy_only=False).tolist(), sizes
+
+
 class _Scorer:
     """Log probabilities of words, kept for the next texts."""
 
@@ -276,17 +315,15 @@ class _Scorer:
         """Log probability of each text in each language, and its number of words."""
         if len(self.number) > CACHE:
             self.clear()
-        number, ids, sizes = self.number, [], []
-        for text in texts:
-            found = [number[w] for w in LETTERS.findall(text.lower())]
-            ids.append(np.array(found, dtype=np.int64))
-            sizes.append(len(found))
+        number = self.number
+        at, words, sizes = runs(texts)
+        flat = np.array([number[w] for w in words], dtype=np.int64)[at]
         new = [b" " + w.encode() for w in list(number)[len(self.scores) :]]
         parts = [log_marginals(new[i : i + BLOCK // 8], self.model.pieces, self.model.table) for i in range(0, len(new), BLOCK // 8)]
         self.scores = np.concatenate([self.scores, *parts])
-        flat, owner = np.concatenate(ids), np.repeat(np.arange(len(texts)), sizes)
+        owner = np.repeat(np.arange(len(texts)), sizes)
         out = np.stack([np.bincount(owner, self.scores[flat, k], len(texts)) for k in range(self.scores.shape[1])], axis=1)
-        return out, np.array(sizes)
+        return out, sizes
 
 
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -198,6 +198,22 @@ def test_fit_reads_words_of_every_length(small_pieces):
 TEXTS = "doc_id long, text string, lang string, word string, n long"
 
 
+def test_runs_of_letters_are_found_at_once():
+    """The same words in the same order as by the pattern, for letters of all widths and texts without any."""
+    texts = ["", "\u0130stanbul \u03a3\u0391\u03a3 STRASSE stra\u00dfe", "a\0b a\u00b2 x\u0301y \u01c5", "\U0001d49c\U0001d505 \u4e2d\u6587 12 \ud55c", "\0", " a", "a", "b A_b"]
+    at, words, sizes = language.runs(texts)
+    found = [language.LETTERS.findall(t.lower()) for t in texts]
+    assert [words[k] for k in at] == [w for f in found for w in f] and sizes.tolist() == [len(f) for f in found]
+    assert len(words) == len(set(words)) and [len(x) for x in language.runs(["", ""])] == [0, 0, 2]
+
+
+def test_pieces_of_a_slot_are_all_found():
+    known = language.pieces([bytes([97 + i, 97 + j, 97 + k]) for i in range(26) for j in range(26) for k in range(26)])
+    assert np.bincount((known.hashes >> np.uint64(64 - language._SLOT_BITS)).astype(np.int64)).max() > 1
+    assert (known.find(known.hashes) == np.arange(len(known.hashes))).all()
+    assert (known.find(known.hashes + np.uint64(1)) == len(known.hashes)).all()
+
+
 def test_languages_are_told_apart(spark, sf):
     rng = random.Random(2)
     tongues = {"a": "the and with house".split(), "b": "der und mit haus".split()}
