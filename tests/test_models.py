@@ -363,6 +363,17 @@ def test_correlation_of_constant_columns(spark):
     assert np.isnan(explore.correlations(flat_rows, ["x"], "y").first()["pearson_r"])
 
 
+def test_constant_columns_in_several_tasks(spark):
+    """Variances merged from many tasks miss zero by rounding; the column is constant all the same."""
+    flat = [50 * 1000 / 1033.0, 200 / 1049.0, 0.1, 1 / 3, 1e8 / 3, 1.1]
+    columns = ", ".join(f"CAST({v!r} AS DOUBLE) AS x{i}" for i, v in enumerate(flat))
+    df = spark.range(0, 1237, 1, 13).selectExpr("CAST(id % 101 AS DOUBLE) AS y", *columns.split(", "))
+    names = [f"x{i}" for i in range(len(flat))]
+    row = df.agg(*(F.var_pop(c).alias(f"v_{c}") for c in names), *(correlation("y", c).alias(f"r_{c}") for c in names), *(correlation(c, "y").alias(f"s_{c}") for c in names), *(slope("y", c).alias(f"a_{c}") for c in names)).first()
+    assert any(row[f"v_{c}"] != 0.0 for c in names)
+    assert all(np.isnan(row[f"{k}_{c}"]) for k in "rsa" for c in names)
+
+
 def test_roll_ups_of_undefined_attributions(spark):
     """Equal and NaN means: the second station is dominant, as in a comparison with ``>``."""
     rolled = [("f", "station", "a", float("nan")), ("f", "station", "b", float("nan")), ("g", "station", "b", 1.0), ("g", "station", "a", 1.0), ("h", "station", "a", 2.0), ("h", "station", "b", None)]
