@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import partial
 
 import numpy as np
 import pytest
@@ -394,3 +395,19 @@ def test_readings_are_joined_once(spark, sf):
         assert "o_orderkey" not in plan and "l_orderkey" not in plan
     lazy = {tuple(r) for r in inputs.daily(spark, sf).selectExpr("station", "date", "round(aqi, 6)", "temperature").collect()}
     assert {tuple(r) for r in split.selectExpr("station", "date", "round(aqi, 6)", "temperature").collect()} == lazy
+
+
+def test_slow_models_join_the_readings_once(spark, sf, monkeypatch):
+    """The queries of the forest and the boosted trees fit on the rows that they score, whose readings are joined once."""
+    from checks import inputs, modelling, registry
+
+    daily, joined = inputs.daily, []
+    monkeypatch.setattr(inputs, "daily", lambda *args: joined.append(args) or daily(*args))
+    for name, over in {"forest_model": {"numTrees": 2, "maxDepth": 2}, "boosting_model": {"maxIter": 2, "maxDepth": 2}, "stopped_boosting": {"maxIter": 2, "maxDepth": 2}}.items():
+        monkeypatch.setattr(training, name, partial(getattr(training, name), **over))
+    for name in ("m8_gradient_boosting", "m9_validation_curve", "m10_model_comparison", "m11_feature_importance"):
+        monkeypatch.setattr(modelling, "_FITTED", {})
+        joined.clear()
+        assert registry.queries()[name](spark, sf).count() and len(joined) == 1, name
+    plan = modelling.model_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "l_orderkey" not in plan
