@@ -475,6 +475,22 @@ def test_whole_lines_beside_a_hub_that_only_looks_similar(spark, monkeypatch):
     assert plan.count("REPARTITION_BY_COL") - plan.count("ReusedExchange") <= 1 and "ReusedExchange" in plan
 
 
+def test_whole_lines_of_the_same_words_do_not_meet_in_pairs(spark, monkeypatch):
+    """Lines share keys by neighbouring words, so the same words in other orders, or a passage all have, make no pair for each two of them."""
+    rng = random.Random(29)
+    words = [f"v{j}" for j in range(24)]
+    passage = " ".join(f"p{j}" for j in range(8))
+    lines = [" ".join(rng.sample(words, 24)) for _ in range(80)]
+    lines += [" ".join([*(f"q{rng.getrandbits(40):x}" for _ in range(rng.randrange(16, 30))), passage]) for _ in range(80)]
+    copies = [" ".join(x.split()[1:]) for x in lines[::8]]
+    df = spark.createDataFrame(list(enumerate([*lines, *copies])), "doc_id long, text string")
+    seen, store = {}, line_dedup.materialise
+    monkeypatch.setattr(line_dedup, "materialise", lambda d, name: seen.setdefault(name, store(d, name)))
+    groups = line_dedup.line_groups(df, line_dedup.hashed_lines(df), whole=True).collect()
+    assert len(groups) == 180 and len({r.component for r in groups}) == 160
+    assert seen["line-pairs"].count() + seen["line-rest"].count() < 600
+
+
 def test_bitmaps_lose_nothing_and_long_lines_have_the_same_simhash(spark):
     ids = spark.range(3000).select((F.col("id") * 7919 - 5000).alias("id"))
     bits = line_dedup._bitmap(ids, "id")
